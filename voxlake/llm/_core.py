@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(start, stop) row ranges of at most limit bytes; a longer row stands alone."""
-    n, sizes = len(texts), pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+    n, sizes = len(texts), pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start = total = 0
     for i in range(n):
         if i > start and total + sizes[i] > limit:

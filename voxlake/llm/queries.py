@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import decontamination, exact_dedup, packing
+from voxlake.llm import decontamination, exact_dedup, packing, set_join
 from voxlake.session import read_table
 
 #: The letters that are lower-cased, for SQL.
@@ -21,6 +21,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.link_components(spark, read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, read_table(spark, sf_dir, "documents"), default_tokenizer())
 
@@ -70,6 +74,7 @@ from words left join hit using (doc_id) left join found using (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op7_grace_exact_dedup": op7_grace_exact_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
