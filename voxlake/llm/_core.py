@@ -38,6 +38,20 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: dict[int, int], id_col: str, text_col: str) -> DataFrame:
+    """(text, label) of at most most[label] labelled documents, as a table in the shared folder.
+
+    labels has id_col and label. The ids are chosen by their hash, so a sample does not depend on
+    the order of rows; only these ids, whose number most bounds, are broadcast to the documents.
+    """
+    chosen = None
+    for label, n in most.items():
+        some = labels.where(F.col("label") == label).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), "label").orderBy(F.xxhash64("__id"), "__id").limit(n)
+        chosen = some if chosen is None else chosen.unionAll(some)
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
+    return written(spark, rows.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("text", "label"), "sample")
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(start, stop) row ranges of at most limit bytes; a longer row stands alone."""
     n, sizes = len(texts), pc.fill_null(pc.binary_length(texts), 0).to_pylist()

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import decontamination, exact_dedup, packing, set_join
+from voxlake.llm import decontamination, exact_dedup, packing, quality, set_join, toxicity
 from voxlake.session import read_table
 
 #: The letters that are lower-cased, for SQL.
@@ -21,6 +21,25 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def fold(ids: str, folds: int) -> Column:
+    """The fold of a row: crc32 of its id as text, modulo the number of folds."""
+    return F.crc32(F.col(ids).cast("string")) % folds
+
+
+def op2_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.train(spark, docs, labels.where(fold("doc_id", 3) != 1))
+    found = toxicity.score_documents(spark, docs, model)
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages")
+
+
+def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = quality.train(spark, docs, labels.where(fold("doc_id", 4) != 2), labels)
+    found = quality.score_documents(spark, docs, model)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= quality.GOOD).cast("int").alias("predicted"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.link_components(spark, read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -74,6 +93,8 @@ from words left join hit using (doc_id) left join found using (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_segment_toxicity": op2_segment_toxicity,
+    "op4_pu_quality": op4_pu_quality,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op7_grace_exact_dedup": op7_grace_exact_dedup,

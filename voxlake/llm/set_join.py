@@ -45,6 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.llm._core import components, shared_dir, slices, to_batch, written
+from voxlake.llm._text import STEP, U64, buffers, mixed, word_hashes
 
 SHINGLE = 5
 #: Links need PART / WHOLE of the union in common.
@@ -56,60 +57,6 @@ BLOCK_BYTES = 24 << 20
 #: Set digests that a map task remembers.
 REMEMBERED = 400_000
 
-_U = np.uint64
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
-_BASE = 0x9E3779B97F4A7C55
-_STEP = _U(0xD6E8FEB86659FD93)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit numbers."""
-    x = x ^ (x >> _U(33))
-    x = x * _U(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> _U(33))
-    x = x * _U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U(33))
-
-
-class _Powers:
-    """Powers of the base modulo 2**64 and their inverses, grown as needed."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, _U)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            def run(base: int) -> np.ndarray:
-                out = np.full(n, base & (2**64 - 1), _U)
-                out[0] = 1
-                return np.multiply.accumulate(out)
-
-            self.up, self.down = run(_BASE), run(pow(_BASE, -1, 2**64))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
-
-
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and document of every word; document i is data[offsets[i]:offsets[i + 1]]."""
-    if not len(data):
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    solid = ~_SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    begins = solid.copy()
-    begins[1:] &= ~solid[:-1] | edge[1:-1]
-    ends = solid
-    ends[:-1] &= ~np.append(solid[1:], False)[: len(data) - 1] | edge[1:-1]
-    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _POWERS.upto(len(data) + 1)
-    run = np.zeros(len(data) + 1, _U)
-    np.cumsum((_LOWER[data].astype(_U) + _U(1)) * up[:-1], out=run[1:])
-    hashes = _mixed((run[last] - run[first]) * down[first] + (last - first).astype(_U) * _STEP)
-    return hashes, np.searchsorted(offsets, first, "right") - 1
-
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of every distinct shingle, sorted by document."""
@@ -119,10 +66,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
     begin = np.concatenate([[0], np.cumsum(counts)])[:-1]
 
     def rolled(starts: np.ndarray, n: int) -> np.ndarray:
-        x = np.full(len(starts), n, _U)
+        x = np.full(len(starts), n, U64)
         for k in range(n):
-            x = x * _STEP + words[starts + k]
-        return _mixed(x)
+            x = x * STEP + words[starts + k]
+        return mixed(x)
 
     starts = np.arange(max(0, len(words) - size + 1))
     starts = starts[doc[starts] == doc[starts + size - 1]] if len(starts) else starts
@@ -132,32 +79,26 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
         docs.append(short)
         hashes.append(rolled(begin[short], n))
     d, h = np.concatenate(docs), np.concatenate(hashes)
-    order = np.argsort((d.astype(_U) << _U(44)) | (h >> _U(20)))
+    order = np.argsort((d.astype(U64) << U64(44)) | (h >> U64(20)))
     d, h = d[order], h[order]
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
     return d[new], h[new]
 
 
-def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a text column and the offsets of its rows; nulls are empty."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
-    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)])
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """For each slice: ids, document of each hash, hashes, set sizes, two digests of each set."""
     for batch in batches:
         for a, b in slices(batch.column(1)):
             ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
-            d, h = shingles(*_buffers(batch.column(1).slice(a, b - a)))
+            d, h = shingles(*buffers(batch.column(1).slice(a, b - a)))
             sizes = np.bincount(d, minlength=len(ids))
-            one, two = np.zeros(len(ids), _U), np.zeros(len(ids), _U)
+            one, two = np.zeros(len(ids), U64), np.zeros(len(ids), U64)
             full = np.flatnonzero(sizes)
             if len(full):
                 at = np.concatenate([[0], np.cumsum(sizes[full])])[:-1]
-                one[full] = np.add.reduceat(_mixed(h), at)
-                two[full] = np.add.reduceat(_mixed(h ^ _STEP), at)
+                one[full] = np.add.reduceat(mixed(h), at)
+                two[full] = np.add.reduceat(mixed(h ^ STEP), at)
             yield ids, d, h, sizes, one, two
 
 
@@ -178,7 +119,7 @@ def _unpacked_docs(raw: bytes) -> np.ndarray:
 
 
 def _home(docs: np.ndarray, n: int) -> np.ndarray:
-    return (_mixed(docs.astype(np.int64).view(_U)) % _U(n)).astype(np.int64)
+    return (mixed(docs.astype(np.int64).view(U64)) % U64(n)).astype(np.int64)
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -202,9 +143,9 @@ def _to_buckets(labels: list[int]):
                 seen.clear()
             keep = new[d]
             docs, h = ids[d[keep]], h[keep]
-            bucket = ((h >> _U(32)) % _U(n)).astype(np.uint16 if n < 65536 else np.int64)
+            bucket = ((h >> U64(32)) % U64(n)).astype(np.uint16 if n < 65536 else np.int64)
             order = np.argsort(bucket, kind="stable")  # documents stay together within a bucket
-            bucket, docs, tokens = bucket[order], docs[order], (h[order] & _U(0xFFFFFFFF)).astype("<u4")
+            bucket, docs, tokens = bucket[order], docs[order], (h[order] & U64(0xFFFFFFFF)).astype("<u4")
             rows, cuts = [], _runs(bucket)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 own = _runs(docs[a:b])
