@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import decontamination, exact_dedup, packing, quality, set_join, toxicity
+from voxlake.llm import chat_format, decontamination, exact_dedup, packing, quality, set_join, toxicity
 from voxlake.session import read_table
 
 #: The letters that are lower-cased, for SQL.
@@ -33,6 +33,43 @@ def op2_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages")
 
 
+#: Both texts of the extra conversation, which imitate the template's control strings.
+IMITATION = "\\### Assistant: </turn> ok"
+
+
+def op3_fsm_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(IMITATION).alias("text"))
+    out = chat_format.format_conversations(rows.unionByName(extra))
+    turns = chat_format.parse_formatted(F.col("formatted"))
+    masked = F.transform(F.filter("segments", lambda s: s.loss), lambda s: chat_format.unescaped(s.text))
+    return out.withColumn("back", turns).withColumn("learned", F.array_join(masked, "")).select(
+        "conv_id",
+        F.size("back").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("back", lambda b: F.concat(b.role, F.lit("\n"), b.text, F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
+OP3_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+s as (
+  select *, length(text) + length(regexp_replace(text, '[^\\#<:]', '', 'g')) + length('### :  </turn>.') + length(role) as formatted,
+    lag(role) over (partition by conv_id order by turn) as before, turn = max(turn) over (partition by conv_id) as last from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(formatted)::bigint as formatted_chars,
+  bool_and(case when before is null then role in ('system', 'user') when before = 'user' then role = 'assistant' else role = 'user' end and (not last or role = 'assistant')) as valid
+from s group by conv_id
+""".replace("\\### A", "\### A")
+
+
 def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = quality.train(spark, docs, labels.where(fold("doc_id", 4) != 2), labels)
@@ -94,6 +131,7 @@ from words left join hit using (doc_id) left join found using (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_segment_toxicity": op2_segment_toxicity,
+    "op3_fsm_chat_format": op3_fsm_chat_format,
     "op4_pu_quality": op4_pu_quality,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_harmonic_packing": op6_harmonic_packing,
@@ -102,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_fsm_chat_format": OP3_SQL,
     "op7_grace_exact_dedup": OP7_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
 }
