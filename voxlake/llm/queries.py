@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import chat_format, decontamination, exact_dedup, packing, quality, set_join, toxicity
+from voxlake.llm import chat_format, decontamination, exact_dedup, line_dedup, packing, quality, secret_scan, set_join, toxicity, warc
 from voxlake.session import read_table
 
 #: The letters that are lower-cased, for SQL.
@@ -26,6 +26,11 @@ def fold(ids: str, folds: int) -> Column:
     return F.crc32(F.col(ids).cast("string")) % folds
 
 
+def op1_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_recurring(spark, read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = toxicity.train(spark, docs, labels.where(fold("doc_id", 3) != 1))
@@ -67,7 +72,7 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   sum(formatted)::bigint as formatted_chars,
   bool_and(case when before is null then role in ('system', 'user') when before = 'user' then role = 'assistant' else role = 'user' end and (not last or role = 'assistant')) as valid
 from s group by conv_id
-""".replace("\\### A", "\### A")
+"""
 
 
 def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +102,25 @@ window w as (partition by t)
 """
 
 
+def op8_novelty_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s.kind != "novel")
+    return found.select("doc_id", *[number(k) for k in secret_scan.KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    warc.convert_archives(spark, warc.pages_to_arc(read_table(spark, sf_dir, "pages")), folder)
+    return warc.read_archives(spark, folder).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -130,12 +154,15 @@ from words left join hit using (doc_id) left join found using (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_template_line_dedup": op1_template_line_dedup,
     "op2_segment_toxicity": op2_segment_toxicity,
     "op3_fsm_chat_format": op3_fsm_chat_format,
     "op4_pu_quality": op4_pu_quality,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op7_grace_exact_dedup": op7_grace_exact_dedup,
+    "op8_novelty_secret_scan": op8_novelty_secret_scan,
+    "op9_arc_to_warc": op9_arc_to_warc,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
