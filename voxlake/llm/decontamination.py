@@ -157,6 +157,24 @@ def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFram
     return grouped.select("doc_id", "n_words", "m.n_hit", "m.ranges", "m.items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
 
 
+def _clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, least_items: int, item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """With a benchmark of one block, a filter in one pass without a shuffle; else hits are merged by id first."""
+    blocks = list(_blocks(benchmark, item_id_col, item_text_col, block_chars))
+    if len(blocks) > 1:
+        found = find_contamination(spark, docs, benchmark, id_col, text_col, item_id_col, item_text_col, window, block_chars)
+        hit = found.where(F.size("items") >= least_items).select(F.col("doc_id").alias("__hit"))
+        return docs.join(hit, F.col(id_col).cast("long").eqNullSafe(hit["__hit"]), "left_anti")
+    windows = spark.sparkContext.broadcast(WindowSet(blocks[0] if blocks else [], window))
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = [len(windows.value.hits(words_of(t.as_py()))[1]) < least_items for t in batch.column(at)]
+            yield batch if all(clean) else batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def _scan_once(windows):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
@@ -193,11 +211,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, mo
 
     A document is contaminated when windows of at least least_items items occur in it.
     """
+    if mode == "documents":
+        return _clean_documents(spark, docs, benchmark, id_col, text_col, least_items, **options)
     ids = F.col(id_col).cast("long")
     found = find_contamination(spark, docs, benchmark, id_col, text_col, **options).where(F.size("items") >= least_items)
-    if mode == "documents":
-        hit = found.select(F.col("doc_id").alias("__hit"))
-        return docs.join(hit, ids.eqNullSafe(hit["__hit"]), "left_anti")
     cut = F.udf(lambda t, r: t if t is None or r is None else without_words(t, list(zip(r[::2], r[1::2], strict=True))), "string")
     spans = found.select(F.col("doc_id").alias("__hit"), F.col("ranges").alias("__ranges")).dropDuplicates(["__hit"])
     joined = docs.join(spans, ids.eqNullSafe(spans["__hit"]), "left")

@@ -7,25 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from voxlake.llm import chat_format, decontamination, exact_dedup, line_dedup, packing, quality, secret_scan, set_join, toxicity, warc
+from voxlake.llm._defaults import default_tokenizer, fold
 from voxlake.session import read_table
 
 #: The letters that are lower-cased, for SQL.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def default_tokenizer() -> str:
-    """Where the public byte-level BPE lies on this machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-def fold(ids: str, folds: int) -> Column:
-    """The fold of a row: crc32 of its id as text, modulo the number of folds."""
-    return F.crc32(F.col(ids).cast("string")) % folds
-
-
 def op1_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_recurring(spark, read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
@@ -153,6 +143,11 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
 from words left join hit using (doc_id) left join found using (doc_id)
 """
 
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_template_line_dedup": op1_template_line_dedup,
     "op2_segment_toxicity": op2_segment_toxicity,
@@ -164,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_novelty_secret_scan": op8_novelty_secret_scan,
     "op9_arc_to_warc": op9_arc_to_warc,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
