@@ -90,7 +90,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     follows the label's own label once (pointer jumping), so a path of length n takes O(log n)
     rounds. Labels and edges stay distributed tables; the driver sees one count a round.
     """
-    both = written(spark, edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(), "edges")
+    once = written(spark, edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    both = once.union(once.select("b", "a"))
     labels = written(spark, both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
     while True:
         seen = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))

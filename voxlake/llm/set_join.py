@@ -423,12 +423,11 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     parts = nodes.select("node", "n", F.length("hashes").alias("size")).join(near, "node").select("node", "comp", "size")
     counts = parts.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / F.lit(block_bytes))).cast("int").alias("blocks"))
     counts = written(spark, counts, "blocks")
-    block = F.pmod(F.hash("node"), F.col("blocks"))
+    # where each set goes is settled on narrow rows; the hashes then move by node once and by task once
+    places = near.join(counts, "comp").withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
     dealt = (
         nodes.select("node", "n", "hashes")
-        .join(near, "node")
-        .join(counts, "comp")
-        .withColumn("own", block)
+        .join(places, "node")
         .select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own", "node", "n", "hashes")
         .select("comp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "n", "hashes")
     )
