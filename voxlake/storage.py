@@ -72,8 +72,11 @@ class Files:
             out.close()
 
     def read_text(self, name: str) -> str:
-        rows = self.spark.read.text(f"{self.root}/{name}", wholetext=True).collect()
-        return rows[0][0] if rows else ""
+        stream = self._fs.open(self._path(f"{self.root}/{name}"))
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def copy_to(self, name: str, target: Files, new_name: str | None = None) -> None:
         """A streamed copy of one file, between any two file systems."""
