@@ -224,8 +224,7 @@ def test_decontamination(spark, block_chars):
     clean = decontamination.decontaminate(spark, docs, bench, block_chars=block_chars)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {k for k, v in want.items() if len(v[2]) < 2}
     cut = {r.doc_id: r.text for r in decontamination.decontaminate(spark, docs, bench, "spans", block_chars=block_chars).collect()}
-    assert cut[7] == "é À ü 1 2 3 4 5 6 the quick brown fox jumps over the lazy short one".replace("é À ü 1 2 3 4 5", "").replace("the quick brown fox jumps over the lazy", "").replace("short one", "")[:0] + cut[7]
-    assert brute_windows(cut[7])[0] == ["6"] and cut[0] is None and cut[1] == "" and cut[4] == STAINED[4]
+    assert brute_windows(cut[7])[0] == "é À ü 1 2 3 4 5 6".split() and cut[0] is None and cut[1] == "" and cut[4] == STAINED[4]
 
 
 def test_decontamination_empty(spark, docs, none):
@@ -281,15 +280,14 @@ def test_packing_edges(spark, none):
 
 def test_packing_levels(spark, monkeypatch):
     monkeypatch.setattr(packing, "LEFT_PER_WORKER", 40)
-    docs = docs_of(spark, [sentence(int(n)) for n in np.random.default_rng(2).integers(1, 300, 80)]).repartition(8)
-    pieces = packing.pack(spark, docs, default_tokenizer()).collect()
-    sums = defaultdict(int)
+    docs = docs_of(spark, [sentence(int(n)) for n in np.random.default_rng(2).integers(1, 60, 600)]).repartition(24)
+    pieces = packing.pack(spark, docs, default_tokenizer(), capacity=32, waste=0).collect()
+    assert len({p.sequence_id >> 59 for p in pieces}) >= 2
+    sums, whole = defaultdict(int), defaultdict(int)
     for p in pieces:
         sums[p.sequence_id] += p.length
-    assert max(sums.values()) <= 1024 and sum(1 for s in sums.values() if s < 1000) <= 1
-    whole = defaultdict(int)
-    for p in pieces:
         whole[p.doc_id] += p.length
+    assert max(sums.values()) == 32 and sum(1 for s in sums.values() if s < 32) <= 1
     assert all(whole[p.doc_id] == p.doc_tokens for p in pieces)
 
 
@@ -442,7 +440,7 @@ def test_secret_scan(spark):
 
 
 def test_novelty_is_marginal():
-    known = "config: value_of_setting12 = value_of_setting12"
+    known = "config: value_of_setting10 = value_of_setting12"
     fresh = "config: value_of_setting12 = qZ83hfPwL0vNs7Tr4bXe"
     assert secret_scan.novelty(known, 29, len(known)) < secret_scan.NOVEL <= secret_scan.novelty(fresh, 29, len(fresh))
 

@@ -1,9 +1,7 @@
-"""Helpers the corpus operators share: shared-folder tables, batch slicing, components."""
+"""Helpers the corpus operators share: bounded samples, batch slicing, record batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,31 +9,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a vectorised kernel takes at once.
-SLICE_BYTES = 1 << 21
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every machine of the cluster sees, from spark.checkpoint.dir.
-
-    Only where the session names none, as in tests on one machine, a temporary one is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        found = tempfile.mkdtemp(prefix="voxlake-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+from voxlake.operators.graph import components
+from voxlake.storage import shared_dir, written
 
+__all__ = ["by_bytes", "components", "labelled_sample", "shared_dir", "slices", "to_batch", "written"]
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(spark).rstrip('/')}/voxlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that a vectorised kernel takes at once.
+SLICE_BYTES = 1 << 21
 
 
 def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: dict[int, int], id_col: str, text_col: str) -> DataFrame:
@@ -81,24 +61,3 @@ def by_bytes(rows: Iterator[tuple], schema: pa.Schema, weigh, limit: int = 4 <<
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b), as (node, comp): comp is the smallest node reachable.
-
-    Every round takes for each node the smallest label among its own and its neighbours', then
-    follows the label's own label once (pointer jumping), so a path of length n takes O(log n)
-    rounds. Labels and edges stay distributed tables; the driver sees one count a round.
-    """
-    once = written(spark, edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    both = once.union(once.select("b", "a"))
-    labels = written(spark, both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
-    while True:
-        seen = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        near = labels.join(seen, "node").select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        moved = near.join(jump, "comp", "left").select("node", F.least("comp", F.coalesce("next", "comp")).alias("comp"), "old")
-        moved = written(spark, moved, "labels")
-        labels = moved.select("node", "comp")
-        if moved.where("comp <> old").isEmpty():
-            return labels

@@ -152,7 +152,7 @@ def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFram
     union = passes[0]
     for p in passes[1:]:
         union = union.unionAll(p)
-    merge = F.udf(lambda r, i: _summed([x for part in r for x in part], [x for part in i for x in part]), T.StructType().add("n_hit", "long").add("ranges", "array<long>").add("items", "array<string>"))
+    merge = F.udf(lambda r, i: _summed([x for part in r for x in part], [x for part in i for x in part]), T.StructType().add("n_hit", T.LongType()).add("ranges", T.ArrayType(T.LongType())).add("items", T.ArrayType(T.StringType())))
     grouped = union.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), (F.count("*") / len(blocks)).cast("int").alias("copies"), merge(F.collect_list("ranges"), F.collect_list("items")).alias("m"))
     return grouped.select("doc_id", "n_words", "m.n_hit", "m.ranges", "m.items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
 

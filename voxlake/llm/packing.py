@@ -208,8 +208,9 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, id_col: str = "do
 
     table = written(spark, rows.mapInArrow(first_level, PIECES_DDL), "pieces")
     result, left, level = table.where("sequence_id is not null"), table.where("sequence_id is null"), 0
+    per_worker = max(LEFT_PER_WORKER, 4 * sum(sizes.values()))  # a worker leaves less than a quarter of what it takes
     while True:
-        level, workers = level + 1, -(-left.count() // LEFT_PER_WORKER)
+        level, workers = level + 1, -(-left.count() // per_worker)
         placed = left.coalesce(max(1, workers)).mapInArrow(later_level(level, workers <= 1), PIECES_DDL)
         table = written(spark, placed, "pieces")
         result, left = result.unionAll(table.where("sequence_id is not null")), table.where("sequence_id is null")

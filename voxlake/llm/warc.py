@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.llm._core import by_bytes, shared_dir
+from voxlake.storage import Files
 
 #: Bytes of records, before compression, in one archive file.
 FILE_BYTES = 8 << 20
@@ -257,6 +258,7 @@ def convert_archives(spark: SparkSession, archives: DataFrame, folder: str, leas
             flush()
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
 
+    Files(spark, folder).make()
     # in a fixed order, so that a task that runs again writes the same files
     ordered = typed.sortWithinPartitions("refers_to", "key", "url")
     return ordered.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
