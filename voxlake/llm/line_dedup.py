@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +42,13 @@ WILD = "<*>"
 LOCAL_BYTES = 24 << 20
 SALTS = 32
 
-_VARIABLE = re.compile(r"\S*\d\S*")
+_DIGIT = re.compile(r"\d")
 
 
 def masked(line: str) -> list[str]:
     """The line's tokens, those with digits as the wildcard."""
-    return _VARIABLE.sub(WILD, line).split()
+    tokens = line.split()
+    return [WILD if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
 
 
 def digest(tokens: list[str]) -> bytes:
@@ -151,16 +152,17 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def found():
         for (leaf, salt), group in groupby(rows(), key=lambda r: r[:2]):
-            tree, waiting = Leaf(), None
-            for k, (line, text, n) in enumerate(lines(group)):
-                placed = (leaf, line, tree.place(line, text.split(" ")), None)
-                if k == 0 and n == 1 and salt < 0:
-                    waiting = placed  # a line alone in its leaf and in one document recurs nowhere
-                    continue
-                if waiting:
-                    yield waiting
-                    waiting = None
-                yield placed
+            own = lines(group)
+            line, text, n = next(own)
+            second = next(own, None)
+            if second is None and salt < 0:
+                if n > 1:  # else a line alone in its leaf and in one document recurs nowhere
+                    yield leaf, line, line, None
+                continue
+            tree = Leaf()
+            yield leaf, line, tree.place(line, text.split(" ")), None
+            for line, text, _ in chain([second] if second else [], own):
+                yield leaf, line, tree.place(line, text.split(" ")), None
             if salt >= 0:
                 yield from ((leaf, None, name, tree.template(i)) for i, name in enumerate(tree.names))
 
