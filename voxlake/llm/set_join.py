@@ -35,6 +35,7 @@ gives an empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import groupby
@@ -51,7 +52,7 @@ SHINGLE = 5
 #: Links need PART / WHOLE of the union in common.
 PART, WHOLE = 75, 100
 #: A set within this distance of a pivot joins its cluster.
-NEAR = 0.10
+NEAR = 0.25
 #: Bytes of hashes that the sets of one task's candidate component hold; larger ones go in blocks.
 BLOCK_BYTES = 24 << 20
 #: Set digests that a map task remembers.
@@ -280,22 +281,27 @@ class Forest:
 
 
 class PositionIndex:
-    """Lists of (pivot, position, size) by hash, each in blocks of neighbouring positions."""
+    """Lists of pivots by hash, each in blocks of neighbouring positions."""
 
     WIDTH = 32
+    #: Entries from which a block is looked through as an array.
+    MANY = 24
 
     def __init__(self, least: float) -> None:
         self.lists: dict[int, dict[int, list]] = defaultdict(dict)
         self.share = least / (1 + least)
         self.least = least
+        self.pivots = 0
 
     def add(self, pivot: int, hashes: list[int], first: int, n: int) -> None:
+        self.pivots += 1
         for k, h in enumerate(hashes):
             position = first + k
-            block = self.lists[h].setdefault(position // self.WIDTH, [0, n, []])
+            block = self.lists[h].setdefault(position // self.WIDTH, [0, n, array("q"), array("q"), array("q")])
             block[0] = max(block[0], n - position)
             block[1] = min(block[1], n)
-            block[2].append((pivot, n - position, n))
+            for column, value in zip(block[2:], (pivot, n - position, n), strict=True):
+                column.append(value)
 
     def probe(self, hashes: list[int], first: int, n: int) -> set[int]:
         """Pivots that can still have the least similarity by position and size."""
@@ -305,16 +311,41 @@ class PositionIndex:
             blocks = self.lists.get(h)
             if blocks is None:
                 continue
+            if len(found) == self.pivots:
+                break  # all are candidates already
             left = n - first - k
-            for rest, smallest, entries in blocks.values():
+            for rest, smallest, pivots, lefts, sizes in blocks.values():
                 if min(left, rest) < share * (n + max(smallest, low)) - 1e-9:
                     continue  # no entry of the block can reach the overlap
-                for pivot, own_left, m in entries:
-                    if low <= m <= high and min(left, own_left) >= share * (n + m) - 1e-9:
-                        found.add(pivot)
+                if len(pivots) < self.MANY:
+                    for pivot, own_left, m in zip(pivots, lefts, sizes, strict=True):
+                        if low <= m <= high and min(left, own_left) >= share * (n + m) - 1e-9:
+                            found.add(pivot)
+                else:
+                    m = np.frombuffer(sizes, np.int64)
+                    fits = (m >= low) & (m <= high) & (np.minimum(np.frombuffer(lefts, np.int64), left) >= share * (n + m) - 1e-9)
+                    found.update(np.frombuffer(pivots, np.int64)[fits].tolist())
         return found
 
 
+class Overlaps:
+    """Intersections of one set with all sets at once, by counting along the lists of its hashes."""
+
+    def __init__(self, ranked: list[np.ndarray]) -> None:
+        self.ranked = ranked
+        flat = np.concatenate(ranked)
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(ranked)), [len(r) for r in ranked])[order]
+        self.hashes, self.begin = np.unique(flat[order], return_index=True)
+        self.length = np.diff(np.append(self.begin, len(flat)))
+
+    def of(self, x: int) -> np.ndarray:
+        at = np.searchsorted(self.hashes, self.ranked[x])
+        length = self.length[at]
+        skip = np.repeat(self.begin[at] - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
+        return np.bincount(self.owner[skip + np.arange(len(skip))], minlength=len(self.ranked))
+
+
 def join_sets(sets: list[np.ndarray], sizes: list[int], part: int = PART, whole: int = WHOLE, near: float = NEAR) -> list[int]:
     """The smallest position linked with each position, over one or more links.
 
@@ -322,57 +353,66 @@ def join_sets(sets: list[np.ndarray], sizes: list[int], part: int = PART, whole:
     """
     order = sorted(range(len(sets)), key=lambda i: sizes[i])
     ranked = [np.sort(s) for s in sets]
+    every: list[Overlaps] = []  # made when first needed
+    size_of = np.array(sizes)
     forest = Forest(len(sets))
     far = 1 - part / whole
-    least = max(0.0, 1 - (far + 2 * near))
+    least = max(0.01, 1 - (far + 2 * near))
     index = PositionIndex(least)
     members: dict[int, list[tuple[float, int]]] = {}
     between: list[tuple[int, int, float]] = []
+
+    def overlaps(x: int) -> np.ndarray:
+        if not every:
+            every.append(Overlaps(ranked))
+        return every[0].of(x)
+
     for x in order:
         n = sizes[x]
         own_only = n - len(sets[x])
         take = max(0, n - int(np.ceil(least * n - 1e-9)) + 1 - own_only)
         hashes = sets[x][:take].tolist()
+        pivots = sorted(index.probe(hashes, own_only, n))
+        if len(pivots) > 16:
+            both = overlaps(x)[pivots].tolist()
+        else:
+            both = [len(np.intersect1d(ranked[x], ranked[p], assume_unique=True)) for p in pivots]
         best, nearest, seen = 2.0, -1, []
-        for p in index.probe(hashes, own_only, n):
-            both = len(np.intersect1d(ranked[x], ranked[p], assume_unique=True))
-            union = n + sizes[p] - both
-            distance = 1 - both / union
-            if whole * both >= part * union:
+        for p, common in zip(pivots, both, strict=True):
+            union = n + sizes[p] - common
+            distance = 1 - common / union
+            if whole * common >= part * union:
                 forest.join(x, p)
             seen.append((p, distance))
-            if (distance, p) < (best, nearest):
+            if distance < best:
                 best, nearest = distance, p
-        if best <= near:
+        if best <= near + 1e-12:
             members[nearest].append((best, x))
         else:
             members[x] = [(0.0, x)]
             between += [(p, x, distance) for p, distance in seen]
             index.add(x, hashes, own_only, n)
     radius = {p: max(m)[0] for p, m in members.items()}
+    # clusters that the distances leave open; the smaller of two is looked through, and a set but once
+    settled = np.zeros(len(sets), bool)
     for p, q, distance in between:
-        if distance <= far + radius[p] + radius[q] + 1e-9 and forest.root(p) != forest.root(q):
-            _verify(members[p], members[q], distance - far - 1e-9, ranked, sizes, forest, part, whole)
-    return [forest.root(i) for i in range(len(sets))]
-
-
-def _verify(ones: list, others: list, gap: float, ranked: list[np.ndarray], sizes: list[int], forest: Forest, part: int, whole: int) -> None:
-    """Looks for a link between two clusters among the pairs that the distances leave open."""
-    others = sorted(others)
-    away = np.array([d for d, _ in others])
-    ys = [y for _, y in others]
-    flat = np.concatenate([ranked[y] for y in ys])
-    owner = np.repeat(np.arange(len(ys)), [len(ranked[y]) for y in ys])
-    size = np.array([sizes[y] for y in ys])
-    for d, x in sorted(ones, reverse=True):
-        open_ = away + d >= gap
-        if not open_.any():
+        if distance > far + radius[p] + radius[q] + 1e-9 or forest.root(p) == forest.root(q):
             continue
-        both = np.bincount(owner[np.isin(flat, ranked[x])], minlength=len(ys))
-        linked = open_ & (whole * both >= part * (sizes[x] + size - both))
-        if linked.any():
-            forest.join(x, ys[int(np.argmax(linked))])
-            return
+        few, many = sorted((members[p], members[q]), key=len)
+        reach = max(many)[0]
+        for d, x in sorted(few, reverse=True):
+            if distance > far + d + reach + 1e-9:
+                break  # this one, and those nearer to their pivot, are too far from all of the others
+            if settled[x]:
+                continue
+            settled[x] = True
+            both = overlaps(x)
+            linked = whole * both >= part * (sizes[x] + size_of - both)
+            for y in np.flatnonzero(linked & (both > 0)).tolist():
+                forest.join(x, y)
+            if forest.root(p) == forest.root(q):
+                break
+    return [forest.root(i) for i in range(len(sets))]
 
 
 _ROOTS = pa.schema([("node", pa.int64()), ("root", pa.int64())])
