@@ -544,6 +544,13 @@ def test_line_dedup_edges(spark, none):
     assert sorted((r.doc_id is None, r.text) for r in line_dedup.drop_recurring(spark, rows).collect()) == [(False, ""), (False, ""), (True, "a line of five words")]
 
 
+def test_short_lines_recur(spark):
+    texts = ["All rights reserved.\nfirst\n17\nPage 3\n ", "42\nAll  rights reserved.\nsecond one here\n17", "second one here\nPage 4\n\n \nall rights reserved.", "17 18"]
+    out = line_dedup.drop_recurring(spark, docs_of(spark, texts)).collect()
+    assert [r.text for r in sorted(out, key=lambda r: r.doc_id)] == [texts[0], "42\nsecond one here", "\n \nall rights reserved.", "17 18"]
+    assert sorted((r.doc_id, r.n_dropped) for r in out) == [(0, 0), (1, 2), (2, 2), (3, 0)]
+
+
 # queries and pipeline -------------------------------------------------------------------------------
 
 

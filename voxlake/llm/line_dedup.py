@@ -4,7 +4,8 @@ A line's tokens that hold digits become the wildcard. The tree's first level is
 next DEPTH levels are the leading tokens; a leaf holds templates. A line joins the template that agrees
 with it in most positions, if that is at least SIMILAR of them, and positions that differ become
 wildcards; else it begins a template. So variable fields generalise whatever they hold. Lines under
-GENERAL tokens only match when all tokens agree, and lines under LEAST tokens are never dropped.
+GENERAL tokens only match when all tokens agree. A line of under BARE tokens that all hold digits keeps them, as
+wildcards alone would make one template of all numbers. Only lines under LEAST tokens, the blank ones, are left out.
 
 A template that occurs in at least min_docs documents recurs; its lines are dropped from all documents but
 the first (the smallest id), or with keep_first=False from all. Blank lines stay.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from voxlake.llm._core import by_bytes, written
 
 DEPTH = 3
-LEAST, GENERAL, SIMILAR = 5, 8, 0.7
+LEAST, BARE, GENERAL, SIMILAR = 1, 5, 8, 0.7
 WILD = "<*>"
 #: Bytes of lines that a map task counts before it sends them on.
 LOCAL_BYTES = 24 << 20
@@ -46,9 +47,12 @@ _DIGIT = re.compile(r"\d")
 
 
 def masked(line: str) -> list[str]:
-    """The line's tokens, those with digits as the wildcard."""
+    """The line's tokens, those with digits as the wildcard; a short line of such tokens alone stays as it is."""
     tokens = line.split()
-    return [WILD if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
+    if not _DIGIT.search(line):
+        return tokens
+    held = [WILD if _DIGIT.search(t) else t for t in tokens]
+    return tokens if len(held) < BARE and held.count(WILD) == len(held) else held
 
 
 def digest(tokens: list[str]) -> bytes:
