@@ -439,6 +439,17 @@ def test_secret_scan(spark):
     assert "Zq8vT2xW9kLmN4pR7sYb" in novel[4] and novel[5] == ["9fK2mQ7xZ4vB8nL1cT6wR3yH5jD0gS"] and novel[6] == [] == novel[0]
 
 
+def test_secret_behind_other_strings():
+    def novel(text):
+        return [text[s.start : s.end] for s in secret_scan.scan(text) if s.kind == "novel"]
+
+    assert novel('auth_token_for_production = "q7Xk29LmPzR4tV8w"') == ["q7Xk29LmPzR4tV8w"]
+    assert novel("token for production-environment is q7Xk29LmPzR4tV8w") == ["q7Xk29LmPzR4tV8w"]
+    assert novel("bearer qZxKvJwPmTrQbNsL, or auth 8361940275518264") == ["qZxKvJwPmTrQbNsL", "8361940275518264"]
+    assert novel("the secret organisation has international responsibility") == []
+    assert novel("token" + " x" * 24 + " q7Xk29LmPzR4tV8w") == []
+
+
 def test_novelty_is_marginal():
     known = "config: value_of_setting10 = value_of_setting12"
     fresh = "config: value_of_setting12 = qZ83hfPwL0vNs7Tr4bXe"

@@ -5,7 +5,9 @@ of hexadecimal digits. The method adds spans of kind "novel": a string close beh
 in a base span, is compressed by zstandard with a raw-content dictionary of common identifiers and
 the text around it. Its marginal compressed bytes, those of lead and string less those of the lead alone,
 measure what neither code nor identifiers explain; strings that cost at least NOVEL of their own
-length, and that hold digits beside letters, are incompressible and are reported.
+length are incompressible and are reported, whatever characters they hold. All strings that begin within
+REACH behind a sensitive word are measured. A plain word that the dictionary does not know, of 12 letters
+or more, costs as much as letters drawn at random and is reported as well.
 
 Positions are code points, ends exclusive. Spans come sorted by start, then by kind in the order of
 KINDS, so repeated finds have a fixed order.
@@ -51,6 +53,14 @@ IDENTIFIERS = (
     "function return import export const static public private class String string boolean integer number null true false "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef 00000000000000000000 "
     "application/json Content-Type text/plain charset=utf-8 SELECT FROM WHERE INSERT INTO VALUES "
+    "_for_production _for_development _for_testing _for_staging production-environment development-environment administrator "
+    "authentication authenticated authorizations organisation organization international information applications implementation "
+    "documentation infrastructure responsibility representation configurations communication communications distribution description "
+    "certificate certificates permissions subscription transaction registration verification notification identification encryption "
+    "management department government professional traditional additional conditional relationship understanding independent "
+    "particularly approximately unfortunately immediately respectively significantly specifically automatically "
+    "circumstances consideration investigation recommendation transformation characteristics opportunities manufacturing "
+    "intelligence conversation construction concentration contribution introduction interpretation "
 )
 
 
@@ -81,10 +91,6 @@ def novelty(text: str, start: int, end: int) -> float:
     return (len(compress(lead + string)) - len(compress(lead))) / len(string)
 
 
-def _mixed_classes(s: str) -> bool:
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-
-
 def candidates(text: str, lower: str, base: list[tuple[str, int, int]]) -> set[tuple[int, int]]:
     """Strings in a sensitive context: in a base span, or beginning close behind a sensitive word."""
     found: set[tuple[int, int]] = set()
@@ -93,9 +99,11 @@ def candidates(text: str, lower: str, base: list[tuple[str, int, int]]) -> set[t
             found.add(m.span())
     if any(w in lower for w in _SENSITIVE_WORDS):
         for m in _SENSITIVE.finditer(text):
-            near = _STRING.search(text, m.end(), m.end() + REACH + LEAST_NOVEL)
-            if near:
-                found.add(_STRING.match(text, near.start()).span())
+            at, stop = m.end(), m.end() + REACH + LEAST_NOVEL
+            while near := _STRING.search(text, at, stop):
+                span = _STRING.match(text, near.start()).span()
+                found.add(span)
+                at = span[1]
     return found
 
 
@@ -106,7 +114,7 @@ def scan(text: str | None) -> list[Span]:
     base = base_spans(text, lower)
     spans = [Span(*b, None) for b in base]
     for start, end in candidates(text, lower, base):
-        if _mixed_classes(text[start:end]) and (n := novelty(text, start, end)) >= NOVEL:
+        if (n := novelty(text, start, end)) >= NOVEL:
             spans.append(Span("novel", start, end, n))
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
