@@ -92,6 +92,12 @@ def test_exact_dedup_edges(spark, none):
     assert sorted((r.doc_id is None, r.keep_id, r.group_size, r.kept) for r in exact_dedup.group_exact(same).collect()) == [(False, 3, 3, True), (False, 3, 3, True), (True, 3, 3, False)]
 
 
+def test_deduplicate_goes_by_row(spark):
+    rows = [(None, "a", 0), (None, "b", 1), (1, "A", 2), (2, "c", 3), (2, "d", 4), (3, "C", 5), (None, None, 6), (None, "", 7), (4, "É", 8), (4, "é", 9), (0, "a", 10)]
+    left = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, n long"))
+    assert sorted(r.n for r in left.collect()) == [1, 2, 4, 5, 6, 7, 8, 9]
+
+
 def test_grace_recursion_compares_content():
     records = [(bytes([i % 7 % 2]) * 32, bytes([i % 7]) * 50, i, 1) for i in range(70)]
     got = sorted(exact_dedup.grace(iter(records), budget=300))
@@ -227,6 +233,17 @@ def test_decontamination(spark, block_chars):
     assert brute_windows(cut[7])[0] == "é À ü 1 2 3 4 5 6".split() and cut[0] is None and cut[1] == "" and cut[4] == STAINED[4]
 
 
+@pytest.mark.parametrize("block_chars", [20, 10**6])
+def test_decontamination_goes_by_row(spark, block_chars):
+    bench = spark.createDataFrame([("1", "x y"), ("2", "short one"), ("3", "z " * 30)], "item_id string, text string")
+    rows = [(None, "x y short one", 0), (None, "clean", 1), (1, "a x y b short one", 2), (1, "u v w", 3), (2, None, 4), (None, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    kept = decontamination.decontaminate(spark, docs, bench, block_chars=block_chars).collect()
+    assert sorted(r.n for r in kept) == [1, 3, 4, 5]
+    cut = {r.n: r.text for r in decontamination.decontaminate(spark, docs, bench, "spans", block_chars=block_chars).collect()}
+    assert [cut[n] if cut[n] is None else cut[n].split() for n in range(6)] == [[], ["clean"], ["a", "b"], ["u", "v", "w"], None, None]
+
+
 def test_decontamination_empty(spark, docs, none):
     bench = spark.createDataFrame([], "item_id string, text string")
     assert all(r.n_hit == 0 for r in decontamination.find_contamination(spark, docs, bench).collect())

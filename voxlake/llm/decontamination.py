@@ -145,26 +145,42 @@ def _summed(ranges: list[int], items: list[str]) -> tuple[int, list[int], list[s
 def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit, ranges (flat word ranges), items (sorted)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = [spark.sparkContext.broadcast(WindowSet(b, window)) for b in _blocks(benchmark, item_id_col, item_text_col, block_chars)] or [spark.sparkContext.broadcast(WindowSet([], window))]
+    blocks = _window_sets(spark, benchmark, item_id_col, item_text_col, window, block_chars)
     if len(blocks) == 1:
         return rows.mapInArrow(_scan_once(blocks[0]), _FOUND_DDL)
+    grouped = _merged(rows, blocks)
+    return grouped.select("doc_id", "n_words", "m.n_hit", "m.ranges", "m.items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
+
+
+def _window_sets(spark: SparkSession, benchmark: DataFrame, item_id_col: str, item_text_col: str, window: int, block_chars: int) -> list:
+    return [spark.sparkContext.broadcast(WindowSet(b, window)) for b in _blocks(benchmark, item_id_col, item_text_col, block_chars)] or [spark.sparkContext.broadcast(WindowSet([], window))]
+
+
+def _merged(rows: DataFrame, blocks: list) -> DataFrame:
+    """A row for each distinct (doc_id, digest) of rows: n_words, copies, m (n_hit, ranges, items)."""
     passes = [rows.mapInArrow(_scan_keyed(b), _SCAN_DDL) for b in blocks]
     union = passes[0]
     for p in passes[1:]:
         union = union.unionAll(p)
     merge = F.udf(lambda r, i: _summed([x for part in r for x in part], [x for part in i for x in part]), T.StructType().add("n_hit", T.LongType()).add("ranges", T.ArrayType(T.LongType())).add("items", T.ArrayType(T.StringType())))
-    grouped = union.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), (F.count("*") / len(blocks)).cast("int").alias("copies"), merge(F.collect_list("ranges"), F.collect_list("items")).alias("m"))
-    return grouped.select("doc_id", "n_words", "m.n_hit", "m.ranges", "m.items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
+    return union.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), (F.count("*") / len(blocks)).cast("int").alias("copies"), merge(F.collect_list("ranges"), F.collect_list("items")).alias("m"))
+
+
+def _same_row(id_col: str, text_col: str, found: DataFrame):
+    """Whether a row has the id and the text of a row of found (__hit, __digest)."""
+    text = F.col(text_col).cast("string")
+    raw = F.when(text.isNull(), F.lit(b"\0")).otherwise(F.concat(F.lit(b"\1"), text.cast("binary")))
+    return (F.unhex(F.sha2(raw, 256)) == found["__digest"]) & F.col(id_col).cast("long").eqNullSafe(found["__hit"])
 
 
 def _clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, least_items: int, item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """With a benchmark of one block, a filter in one pass without a shuffle; else hits are merged by id first."""
-    blocks = list(_blocks(benchmark, item_id_col, item_text_col, block_chars))
+    """With a benchmark of one block, a filter in one pass without a shuffle; else hits are merged by id and digest first."""
+    blocks = _window_sets(spark, benchmark, item_id_col, item_text_col, window, block_chars)
     if len(blocks) > 1:
-        found = find_contamination(spark, docs, benchmark, id_col, text_col, item_id_col, item_text_col, window, block_chars)
-        hit = found.where(F.size("items") >= least_items).select(F.col("doc_id").alias("__hit"))
-        return docs.join(hit, F.col(id_col).cast("long").eqNullSafe(hit["__hit"]), "left_anti")
-    windows = spark.sparkContext.broadcast(WindowSet(blocks[0] if blocks else [], window))
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        hit = _merged(rows, blocks).where(F.size("m.items") >= least_items).select(F.col("doc_id").alias("__hit"), F.col("digest").alias("__digest"))
+        return docs.join(hit, _same_row(id_col, text_col, hit), "left_anti")
+    windows = blocks[0]
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,9 +229,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, mo
     """
     if mode == "documents":
         return _clean_documents(spark, docs, benchmark, id_col, text_col, least_items, **options)
-    ids = F.col(id_col).cast("long")
-    found = find_contamination(spark, docs, benchmark, id_col, text_col, **options).where(F.size("items") >= least_items)
+    return _clean_spans(spark, docs, benchmark, id_col, text_col, least_items, **options)
+
+
+def _clean_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, least_items: int, item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = _merged(rows, _window_sets(spark, benchmark, item_id_col, item_text_col, window, block_chars)).where(F.size("m.items") >= least_items)
     cut = F.udf(lambda t, r: t if t is None or r is None else without_words(t, list(zip(r[::2], r[1::2], strict=True))), "string")
-    spans = found.select(F.col("doc_id").alias("__hit"), F.col("ranges").alias("__ranges")).dropDuplicates(["__hit"])
-    joined = docs.join(spans, ids.eqNullSafe(spans["__hit"]), "left")
+    spans = found.select(F.col("doc_id").alias("__hit"), F.col("digest").alias("__digest"), F.col("m.ranges").alias("__ranges"))
+    joined = docs.join(spans, _same_row(id_col, text_col, spans), "left")
     return joined.withColumn(text_col, cut(F.col(text_col), F.col("__ranges"))).select(*docs.columns)

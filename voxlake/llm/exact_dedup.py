@@ -23,6 +23,7 @@ import hashlib
 import struct
 import tempfile
 from collections.abc import Iterable, Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -165,6 +166,11 @@ def group_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
-    """The rows of docs, of equal texts only the one with the largest id; all columns stay."""
-    gone = group_exact(docs, id_col, text_col, **limits).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    """The rows of docs, of equal texts only those with the largest id; all columns stay.
+
+    Rows go by id and digest, as rows that share an id, or have none, need not share a text.
+    """
+    gone = group_exact(docs, id_col, text_col, **limits).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest")).distinct()
+    lower = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
+    same = F.unhex(F.sha2(lower.cast("binary"), 256)) == gone["__digest"]
+    return docs.join(gone, same & F.col(id_col).cast("long").eqNullSafe(gone["__gone"]), "left_anti")
