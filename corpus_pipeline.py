@@ -40,7 +40,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences."""
-    return packing.pack(spark, docs, default_tokenizer())
+    return packing.pack(spark, docs, default_tokenizer(), added_tokens=True)
 
 
 STAGES = [

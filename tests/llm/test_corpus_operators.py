@@ -285,6 +285,21 @@ def test_packing(spark, docs):
     assert padding < 0.02 * total + 1024
 
 
+def test_added_tokens_are_one_id(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = default_tokenizer()
+    texts = ["end <|endoftext|> start", "<|endoftext|>", "<|endoftext|><|endoftext|>\n\n a", " a  <|endoftext|>  b\n<|endoftext|", "it's<|endoftext|>'s <|endoftext|>12 ", "plain  text", LONG[:300] + "<|endoftext|>" + BASE, ""]
+    usual, encode = Tokenizer.from_file(path), packing.Encoder(path, added_tokens=True)
+    want = [usual.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [437, 220, 50256, 923]
+    assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == want
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op6_harmonic_packing(spark, str(tmp_path)).collect():
+        ids = np.array([*want[r.doc_id], 0], "<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
 def test_packing_edges(spark, none):
     assert packing.pack(spark, none, default_tokenizer()).count() == 0
     twice = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")

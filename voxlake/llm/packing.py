@@ -14,7 +14,9 @@ than k pieces a class, over all classes in decreasing order of length.
 Texts never move: a piece is (document, start, length, checksum of its ids). The pieces are written
 once to the shared folder, so nothing is tokenised twice and a lost executor costs only its part.
 
-Token ids are those of the byte-level BPE in the given tokenizer file, plus the end id 0.
+Token ids are those of the byte-level BPE in the given tokenizer file, plus the end id 0. With added_tokens, as
+the queries have it, the file's added tokens are found in the texts as tokenizers does by default, and each is one
+id; else they are cut into ordinary pieces, which is tokenizers with encode_special_tokens.
 
 Edge cases: a null or empty text is the end id alone. Repeated rows are packed each on their own. A
 very long text becomes many full sequences. An empty table gives an empty result.
@@ -54,10 +56,12 @@ class Encoder:
 
     A space before a non-space, and a line end between two non-spaces, always begin a new
     pre-token of the byte-level pattern, so texts without double or outer white space can be
-    encoded word by word with the same result. Other texts are encoded at once.
+    encoded word by word with the same result. Other texts are encoded at once. With added_tokens,
+    texts are first split at the longest added tokens from the left, and what lies between is encoded
+    on its own; files whose added tokens take in more than their content leave such texts to tokenizers.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added_tokens: bool = False) -> None:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -71,6 +75,14 @@ class Encoder:
         self._first: dict[str, bytes] = {}
         self._after: dict[str, bytes] = {}
         self._line_end = self._plain("\n")
+        added = model.get("added_tokens", []) if added_tokens else []
+        self._added = {t["content"]: np.array([t["id"]], _WORD_IDS).tobytes() for t in added}
+        self._at_added = re.compile("(" + "|".join(re.escape(c) for c in sorted(self._added, key=len, reverse=True)) + ")")
+        self._exact = None
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(path)
 
     def _plain(self, text: str) -> bytes:
         return np.array(self._encode(text), _WORD_IDS).tobytes()
@@ -84,6 +96,15 @@ class Encoder:
         return out
 
     def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if any(c in text for c in self._added):
+            if self._exact:
+                return np.array(self._exact.encode(text, add_special_tokens=False).ids, _WORD_IDS).tobytes()
+            return b"".join(self._added[p] if p in self._added else self._between(p) for p in self._at_added.split(text))
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
         if not text:
             return b""
         if _GAPS.search(text):
@@ -165,7 +186,7 @@ class _Filler:
             yield from self.sequence(held)
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, waste: int = WASTE) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, waste: int = WASTE, added_tokens: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sizes = class_sizes(capacity, waste)
@@ -174,7 +195,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, id_col: str = "do
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, filler = Encoder(tokenizer), _Filler(0, TaskContext.get().partitionId(), sizes)
+        encode, filler = Encoder(tokenizer, added_tokens), _Filler(0, TaskContext.get().partitionId(), sizes)
         end = np.array([END_ID], _WORD_IDS).tobytes()
 
         def placed():

@@ -77,7 +77,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(spark, read_table(spark, sf_dir, "documents"), default_tokenizer())
+    return packing.pack(spark, read_table(spark, sf_dir, "documents"), default_tokenizer(), added_tokens=True)
 
 
 def op7_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
