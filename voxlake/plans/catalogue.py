@@ -453,6 +453,50 @@ def voronoi(spark, sf_dir):
     return gather.nearest_seed(spark, v.where("z < 100").select(*AXES), seeds)
 
 
+# The five queries above read a part of the volume, as their SQL does; those below do the same over all of it.
+
+
+def _scale_whole_sql(s: float) -> str:
+    at = ", ".join(f"cast(least(greatest(floor(({1 / s!r})::double * (o{a}.i + 0.5::double)), 0), {n} - 1) as bigint) as {a}" for a, n in zip("zyx", ("d", 8, 8), strict=True))
+    return f"with {_V}, {_DIM}, oz as (select unnest(range(cast(floor(d * {s!r}::double) as bigint))) as i from dim), o as (select oz.i as oz, oy.i as oy, ox.i as ox, {at} from dim, oz, range({int(8 * s)}) oy(i), range({int(8 * s)}) ox(i)) select oz as z, oy as y, ox as x, v from o join vol using (z, y, x)"
+
+
+def _scaled_whole(s: float):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return gather.scale_nearest(spark, _volume(spark, sf_dir), s, volumes.volume_shape(spark, sf_dir))
+
+    return run
+
+
+query("scale_nearest_up_whole", _scale_whole_sql(1.5))(_scaled_whole(1.5))
+query("scale_nearest_down_whole", _scale_whole_sql(0.5))(_scaled_whole(0.5))
+
+
+@query("affine_transpose_whole", f"with {_V} select x as z, y, z as x, v from vol")
+def affine_transpose_whole(spark, sf_dir):
+    shape = volumes.volume_shape(spark, sf_dir)
+    swap = [[0.0, 0.0, 1.0], [0.0, 1.0, 0.0], [1.0, 0.0, 0.0]]
+    return gather.affine_nearest(spark, _volume(spark, sf_dir), swap, [0.0] * 3, shape, (8, 8, shape[0]))
+
+
+@query("affine_mirror_whole", f"with {_V}, {_DIM} select z, y, 7 - x as x, v from vol union all select d + k as z, y, x, 0 as v from dim, range(20) k(k), range(8) y(y), range(8) x(x)")
+def affine_mirror_whole(spark, sf_dir):
+    shape = volumes.volume_shape(spark, sf_dir)
+    matrix = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, -1.0]]
+    return gather.affine_nearest(spark, _volume(spark, sf_dir), matrix, [0.0, 0.0, 8.0], shape, (shape[0] + 20, 8, 8), cval=0.0)
+
+
+#: Planes from one seed to the next, and a bound on the distance from any voxel to its nearest seed.
+_SEED_STEP, _SEED_CELL = 10, 14
+
+
+@query("voronoi_whole")
+def voronoi_whole(spark, sf_dir):
+    depth = volumes.volume_shape(spark, sf_dir)[0]
+    seeds = spark.range(0, depth, _SEED_STEP).select(F.expr(f"id div {_SEED_STEP}").alias("seed"), F.col("id").alias("z")).select("seed", "z", F.expr("seed % 8").alias("y"), F.expr("seed div 2 % 8").alias("x"))
+    return gather.nearest_seed(spark, _volume(spark, sf_dir).select(*AXES), seeds, cell=_SEED_CELL)
+
+
 @query(
     "split_by_seeds",
     f"{_LABELS}, seed as (select id, z, y, x, lbl, row_number() over (partition by lbl order by id) - 1 as k from cc join fg using (id) where id % 2 = 0), n as (select lbl, count(*) as n from seed group by lbl) "
