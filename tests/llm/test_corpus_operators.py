@@ -177,6 +177,18 @@ def test_join_sets_kernel(seed):
     assert {i: r for i, r in enumerate(got)} == brute_components({i: frozenset(s.tolist()) for i, s in enumerate(sets)})
 
 
+@pytest.mark.parametrize("part", [60, 75, 90])
+def test_join_sets_around_a_pivot(part):
+    x = [*range(89), *range(100, 111)]
+    sets = [list(range(100)), x, x[:-2] + [200, 201], x[2:] + [202, 203], list(range(300, 340))]
+    df = defaultdict(int)
+    for s in sets:
+        for h in s:
+            df[h] += 1
+    shared = [np.array(sorted((h for h in s if df[h] > 1), key=lambda h: (df[h], h)), np.int64) for s in sets]
+    assert dict(enumerate(set_join.join_sets(shared, [len(s) for s in sets], part))) == brute_components({i: frozenset(s) for i, s in enumerate(sets)}, part)
+
+
 def test_set_join_edges(spark, none):
     assert set_join.link_components(spark, none).count() == 0
     rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (None, "x"), (5, "A b c d e f")], "doc_id long, text string")

@@ -51,7 +51,7 @@ from voxlake.llm._text import STEP, U64, buffers, mixed, word_hashes
 SHINGLE = 5
 #: Links need PART / WHOLE of the union in common.
 PART, WHOLE = 75, 100
-#: A set within this distance of a pivot joins its cluster.
+#: A set within this distance of a pivot, or the distance that links where that is less, joins its cluster.
 NEAR = 0.25
 #: Bytes of hashes that the sets of one task's candidate component hold; larger ones go in blocks.
 BLOCK_BYTES = 24 << 20
@@ -357,6 +357,7 @@ def join_sets(sets: list[np.ndarray], sizes: list[int], part: int = PART, whole:
     size_of = np.array(sizes)
     forest = Forest(len(sets))
     far = 1 - part / whole
+    near = min(near, far)  # else two sets of a cluster can link while neither links with the pivot
     least = max(0.01, 1 - (far + 2 * near))
     index = PositionIndex(least)
     members: dict[int, list[tuple[float, int]]] = {}
