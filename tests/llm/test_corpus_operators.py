@@ -559,27 +559,55 @@ LINES = [
 ]
 
 
-def brute_lines(texts, keep_first=True):
-    leaves, docs = defaultdict(set), defaultdict(set)
-    for t in texts:
-        for line in (t or "").split("\n"):
-            if len(m := tuple(line_dedup.masked(line))) >= line_dedup.LEAST:
-                leaves[line_dedup.leaf_of(list(m))].add(m)
-    name = {}
-    for lines in leaves.values():
-        leaf = line_dedup.Leaf()
-        for m in sorted(lines, key=lambda m: line_dedup.digest(list(m))):
-            name[m] = leaf.place(line_dedup.digest(list(m)), list(m))
-    for i, t in enumerate(texts):
-        for line in (t or "").split("\n"):
-            if (m := tuple(line_dedup.masked(line))) in name:
-                docs[name[m]].add(i)
+def plain_tokens(line):
+    tokens = re.findall(r"\S+", line)
+    held = ["<*>" if re.search(r"\d", t) else t for t in tokens]
+    return tuple(tokens if len(held) < 5 and set(held) == {"<*>"} else held)
+
+
+def plain_clusters(items):
+    """Which template each (name, tokens) joins, and the templates; written from the docstring alone."""
+    templates, into = [], {}
+    for name, tokens in sorted(items):
+        scores = [sum(0.5 if t == "<*>" else float(t == own) for t, own in zip(template, tokens)) for _, template in templates]
+        k = scores.index(max(scores)) if scores and max(scores) >= 0.7 * len(tokens) - 1e-9 else len(templates)
+        if k == len(templates):
+            templates.append((name, list(tokens)))
+        else:
+            templates[k][1][:] = [t if t == own else "<*>" for t, own in zip(templates[k][1], tokens)]
+        into[name] = templates[k][0]
+    return into, templates
+
+
+def brute_lines(texts, keep_first=True, min_docs=2, ids=None):
+    import xxhash
+
+    ids = ids or list(range(len(texts)))
+    name = {m: xxhash.xxh3_128_digest(" ".join(m).encode()) for t in texts for x in (t or "").split("\n") if (m := plain_tokens(x))}
+    leaves, final = defaultdict(lambda: defaultdict(list)), {}
+    for m, d in name.items():
+        leaves[len(m), m[:3] if len(m) >= 8 else m][d[-1]].append((d, m))
+    for slots in leaves.values():
+        firsts, over = {}, []
+        for items in slots.values():
+            into, templates = plain_clusters(items)
+            firsts |= into
+            over += templates
+        again, _ = plain_clusters(over)
+        final |= {d: again[f] for d, f in firsts.items()}
+    holders = defaultdict(set)
+    for i, t in zip(ids, texts):
+        for x in (t or "").split("\n"):
+            if m := plain_tokens(x):
+                holders[final[name[m]]].add(i)
 
     def stays(i, line):
-        d = docs.get(name.get(tuple(line_dedup.masked(line))), ())
-        return len(d) < 2 or keep_first and min(d) == i
+        if not (m := plain_tokens(line)):
+            return True
+        held = holders[final[name[m]]]
+        return len(held) < min_docs or keep_first and min(held) == i
 
-    return [None if t is None else "\n".join(x for x in t.split("\n") if stays(i, x)) for i, t in enumerate(texts)]
+    return [None if t is None else "\n".join(x for x in t.split("\n") if stays(i, x)) for i, t in zip(ids, texts)]
 
 
 @pytest.mark.parametrize("keep_first", [True, False])
@@ -593,6 +621,58 @@ def test_line_dedup(spark, keep_first):
     assert got[2].text == (LINES[2] if keep_first else "own line number one here\n\nx")
 
 
+def many_lines(n=900):
+    """Lines of few leaves with variable fields, so that templates meet, grow and compete."""
+    rng = np.random.default_rng(8)
+    out = []
+    for _ in range(n):
+        w = ["event", "of", "kind", *rng.choice(list("abcdefgh"), 9 if rng.random() < 0.7 else 7)]
+        if rng.random() < 0.5:
+            w[3:9] = ["red", "green", "blue", "black", "white", "grey"]
+            w[rng.integers(3, 9)] = str(rng.choice(["x", "y", "9"]))
+        out.append(" ".join(w))
+    return ["\n".join(out[k : k + 3]) for k in range(0, n, 3)]
+
+
+@pytest.mark.parametrize(("hot_lines", "frequent"), [(10_000, 1000), (0, 1), (300, 10)])
+def test_line_dedup_by_one_rule_at_any_size(spark, hot_lines, frequent):
+    texts = many_lines()
+    out = line_dedup.drop_recurring(spark, docs_of(spark, texts), hot_lines=hot_lines, frequent=frequent)
+    got = {r.doc_id: r.text for r in out.collect()}
+    want = brute_lines(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert 200 < sum(a != b for a, b in zip(texts, want)) and any("event" in t for t in want)
+
+
+@pytest.mark.parametrize("min_docs", [1, 3])
+def test_line_dedup_in_several_documents(spark, min_docs):
+    texts = many_lines(120) + LINES
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring(spark, docs_of(spark, texts), min_docs=min_docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_lines(texts, min_docs=min_docs)
+    gone = {r.doc_id: r.text for r in line_dedup.drop_recurring(spark, docs_of(spark, LINES), min_docs=1, keep_first=False).collect()}
+    assert all(not (gone[i] or "").split() for i in range(len(LINES)))
+
+
+def test_line_dedup_cuts_each_row_at_its_own_lines(spark):
+    texts = ["a shared line of words\nstays one", "stays two\na shared line of words", "a shared line of words\nstays three", "é shared\nx", "x"]
+    rows = [(0, texts[0], 7, 8, "g", "n", "c"), (5, texts[1], 77, 88, "g", "n", "c"), (5, texts[2], 1, 2, "g", "n", "c"), (None, texts[3], 3, 4, "g", "n", "c"), (6, texts[4], 5, 6, "g", "n", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_dropped int, __gone string, __nos string, cut string")
+    out = line_dedup.drop_recurring(spark, df)
+    assert out.columns == [*df.columns, "n_lines_", "n_dropped_"]
+    got = {(r.n_lines, r.n_dropped): (r.text, r.n_lines_, r.n_dropped_, r["__gone"], r.cut) for r in out.collect()}
+    assert got == {(7, 8): (texts[0], 2, 0, "g", "c"), (77, 88): ("stays two", 2, 1, "g", "c"), (1, 2): ("stays three", 2, 1, "g", "c"), (3, 4): (texts[3], 2, 0, "g", "c"), (5, 6): ("", 1, 1, "g", "c")}
+
+
+def test_template_index_changes_nothing(monkeypatch):
+    lines = sorted({line for t in many_lines(1500) for line in t.split("\n") if len(line.split()) == 12})
+    found = []
+    for many in (1, 10**9):
+        monkeypatch.setattr(line_dedup.Leaf, "MANY", many)
+        tree = line_dedup.Leaf(2)
+        found.append([tree.place(line.encode(), line_dedup.masked(line), 1, [k]) for k, line in enumerate(lines)])
+    assert found[0] == found[1] and 20 < len(set(found[0])) < len(lines)
+
+
 def test_line_dedup_edges(spark, none):
     assert line_dedup.drop_recurring(spark, none).count() == 0
     rows = spark.createDataFrame([(1, "a line of five words"), (1, "a line of five words"), (None, "a line of five words")], "doc_id long, text string")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voxlake.operators.graph import components
 from voxlake.storage import shared_dir, written
 
-__all__ = ["by_bytes", "components", "labelled_sample", "shared_dir", "slices", "to_batch", "written"]
+__all__ = ["by_bytes", "components", "free_name", "labelled_sample", "shared_dir", "slices", "to_batch", "written"]
 
 #: Bytes of text that a vectorised kernel takes at once.
 SLICE_BYTES = 1 << 21
@@ -32,6 +32,14 @@ def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, mos
     return written(spark, rows.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("text", "label"), "sample")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores after it until no column in taken has it; names differ by more than case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(start, stop) row ranges of at most limit bytes; a longer row stands alone."""
     n, sizes = len(texts), pc.fill_null(pc.binary_length(texts), 0).to_pylist()
