@@ -316,10 +316,23 @@ def test_packing_edges(spark, none):
     assert packing.pack(spark, none, default_tokenizer()).count() == 0
     twice = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
     assert packing.pack(spark, twice, default_tokenizer()).count() >= 3
-    sizes = packing.class_sizes()
-    assert all(1024 - k * n <= packing.WASTE for n, k in sizes.items()) and sizes[1024] == 1 and sizes[1] == 1024
+    cuts = packing.tail_cuts()
     for n in (1, 7, 1023, 1024, 5000):
-        assert sum(packing.cut(n, list(sizes))) == n
+        pieces = packing.cut(n, cuts)
+        assert sum(pieces) == n and sum(p == 1024 for p in pieces) == n // 1024
+        assert all(1024 - 1024 // p * p <= packing.WASTE for p in pieces)
+    assert sum(map(len, cuts)) < 2.6 * 1023 and max(map(len, cuts)) <= 4
+
+
+def test_bins_hold_one_class_each(spark):
+    docs = docs_of(spark, [sentence(int(n)) for n in np.random.default_rng(5).integers(1, 900, 400)])
+    pieces = packing.pack(spark, docs, default_tokenizer()).collect()
+    bins = defaultdict(list)
+    for p in pieces:
+        bins[p.sequence_id].append(p.length)
+    full = [held for s, held in bins.items() if len(held) == 1024 // held[0] and len({1024 // n for n in held}) == 1]
+    assert len(full) > 0.8 * len(bins) and all(1024 - sum(held) <= packing.WASTE for held in full)
+    assert len(pieces) < 4 * 400
 
 
 def test_packing_levels(spark, monkeypatch):
@@ -353,6 +366,36 @@ def test_quality_held_out(spark):
     assert kept.columns == rows.columns and {r.doc_id for r in kept.collect()} == {i for i, s in got.items() if s >= 0.7}
 
 
+def test_quality_from_positives_and_unlabelled_alone(spark):
+    rng = np.random.default_rng(6)
+    texts = [sentence(int(n), rng).capitalize() + "." if i % 4 else " ".join(w + "###" for w in sentence(int(n), rng).split()) for i, n in enumerate(rng.integers(20, 120, 1800))]
+    good = [i for i in range(1800) if i % 4]
+    rows = docs_of(spark, texts).withColumn("quality", F.lit("clash"))
+    labels = spark.createDataFrame([(i, 1) for i in good if i % 3 == 0] + [(None, 1), (4, None)], "doc_id long, quality int")
+    model = quality.train(spark, rows, labels, labels)
+    unlabelled = [i for i in range(1800) if i not in {j for j in good if j % 3 == 0} | {4}]
+    share = sum(i % 4 > 0 for i in unlabelled) / len(unlabelled)
+    assert abs(model.prior - share) < 0.1
+    got = {r.doc_id: r.score for r in quality.score_documents(spark, rows.union(rows.where("doc_id = 7")), model).collect()}
+    assert len(got) == 1800 and sum((got[i] >= 0.7) == (i % 4 > 0) for i in unlabelled) >= 0.95 * len(unlabelled)
+    again = quality.train(spark, rows.repartition(5), labels, labels)
+    assert again.prior == model.prior and np.allclose(again.last[0], model.last[0])
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.9])
+def test_prior_and_calibration(prior):
+    rng = np.random.default_rng(1)
+    p = rng.normal(2.0, 1, 3000)
+    labels = rng.random(6000) < prior
+    u = np.where(labels, rng.normal(2.0, 1, 6000), rng.normal(-2.0, 1, 6000))
+    assert abs(quality.estimate_prior(p, u) - prior) < 0.06
+    a, b = quality.calibrate(p, u, prior)
+    score = 1 / (1 + np.exp(-(a + b * u)))
+    for low in (0.0, 0.2, 0.8):
+        some = (score >= low) & (score < low + 0.2)
+        assert abs(score[some].mean() - labels[some].mean()) < 0.12
+
+
 def test_quality_edges(spark, docs, none):
     empty = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.train(spark, docs, empty, empty)
@@ -413,6 +456,28 @@ def test_toxicity_held_out(spark):
     assert got[400].score == got[401].score < 0.5 and got[0].n_passages >= 1
 
 
+def test_background_counts_every_score():
+    values, share = toxicity.background([[1.0, 3, 2.0, 1], [1.0, 1], []], 100)
+    assert dict(zip(values.tolist(), share.round(9).tolist())) == {1.0: 0.04, 2.0: 0.01, -toxicity.COST: 0.95}
+    scale = toxicity.solve_scale(values, share)
+    assert abs((share * np.exp(scale * values)).sum() - 1) < 1e-6 and scale > 0
+    assert abs(toxicity.background([[]], 10)[1].sum() - 1) < 1e-12
+
+
+def test_log_k_fits_the_tops():
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(50, 500, 4000)
+    k, scale = 0.02, 0.9
+    tops = np.maximum(0, (np.log(k * lengths) - np.log(-np.log(rng.random(4000)))) / scale)
+    assert abs(toxicity.solve_log_k(lengths, tops, scale) - np.log(k)) < 0.2
+    assert toxicity.solve_log_k(lengths, np.zeros(4000), scale) == 0.0
+
+
+def test_lexicon_follows_log_odds():
+    found = toxicity.choose_lexicon({b"bad": 40, b"so": 50, b"rare": 1}, {b"so": 500}, 1000, 10000)
+    assert set(found) == {b"bad"} and found[b"bad"] > 2 * toxicity.COST
+
+
 def test_toxicity_edges(spark, docs, none):
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     model = toxicity.train(spark, docs, labels)
@@ -510,11 +575,32 @@ def test_arc_versions():
         assert list(warc.read_arc(raw))[1:] == records
         with pytest.raises(ValueError):
             list(warc.read_arc(raw[:-20] if records[1].body else raw[: raw.index(b"filedesc", 200)]))
-    headers, block = next(warc.read_warc(gzip.compress(warc.warc_record(records[0]))))
-    assert headers["warc-date"] == "2020-01-02T03:04:05Z" and headers["warc-type"] == "response" and block == records[0].body
-    assert warc.record_id(records[0]) == warc.record_id(records[0]) != warc.record_id(records[1])
+        members = [r.encode("latin1") for r in raw.decode("latin1").split("dns:a")]
+        zipped = gzip.compress(members[0]) + gzip.compress(b"dns:a" + members[1])
+        assert list(warc.read_arc(zipped))[1:] == records
+    headers, block = next(warc.read_warc(gzip.compress(warc.warc_record(records[0], "<urn:uuid:1>"))))
+    assert headers["warc-date"] == "2020-01-02T03:04:05Z" and headers["warc-type"] == "response" and block == records[0].body and headers["warc-record-id"] == "<urn:uuid:1>"
+    assert warc.record_id("a", 1) == warc.record_id("a", 1) != warc.record_id("a", 2)
+    headers, block = next(warc.read_warc(warc.warc_record(records[0], "<urn:uuid:2>", warc.Original(7, "<urn:uuid:1>", "http://o", "20210101000000"))))
+    assert {k: headers[k] for k in ("warc-type", "warc-refers-to", "warc-refers-to-target-uri", "warc-refers-to-date")} == {"warc-type": "revisit", "warc-refers-to": "<urn:uuid:1>", "warc-refers-to-target-uri": "http://o", "warc-refers-to-date": "2021-01-01T00:00:00Z"}
     with pytest.raises(ValueError):
-        list(warc.read_warc(warc.warc_record(records[0]).replace(b"filedesc", b"filedisc")))
+        list(warc.read_warc(warc.warc_record(records[0], "<urn:uuid:1>").replace(b"filedesc", b"filedisc")))
+
+
+def test_archives_from_storage(spark, tmp_path):
+    same = warc.http_response(b"same body", 3)
+    records = [warc.ArcRecord("http://a/1", "1.2.3.4", "20200102030405", "text/html", same)] * 2 + [warc.ArcRecord("http://a/2", "1.2.3.4", "20210102030405", "text/html", warc.http_response(b"same body", 8))]
+    for version, name in ((1, "one.arc"), (2, "two.arc.gz")):
+        raw = warc.write_arc(records, version)
+        (tmp_path / name).write_bytes(gzip.compress(raw) if name.endswith("gz") else raw)
+    folder = warc.archive_folder(spark)
+    assert warc.convert_archives(spark, warc.load_archives(spark, f"file://{tmp_path}"), folder) == 6
+    got = warc.read_archives(spark, folder).collect()
+    assert sorted((r.key, r.record_type, r.refers_to) for r in got) == [(3, "revisit", 8)] * 4 + [(8, "response", None)] * 2
+    raw = b"".join(bytes(r.content) for r in spark.read.format("binaryFile").load(f"{folder}/*.warc.gz").collect())
+    headers = [h for h, _ in warc.read_warc(raw) if h["warc-type"] != "warcinfo"]
+    ids = {h["warc-record-id"] for h in headers}
+    assert len(ids) == 6 and {h["warc-refers-to"] for h in headers if h["warc-type"] == "revisit"} <= {h["warc-record-id"] for h in headers if h["warc-type"] == "response"}
 
 
 @pytest.mark.parametrize("least", [0, 3])

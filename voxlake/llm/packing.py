@@ -1,10 +1,10 @@
 """Harmonic packing of token sequences.
 
-Lengths are partitioned into reciprocal-capacity classes: class k holds pieces of exactly
-capacity // k tokens, and every bin of class k takes exactly k of them, so a bin is placed by
-counting alone and each worker fills its own bins. A document is cut into pieces of class sizes,
-largest first. Only classes whose bins leave at most waste tokens are used, so a document becomes
-its full sequences plus a few pieces.
+Lengths are partitioned into reciprocal-capacity classes: class k holds the lengths over capacity / (k + 1)
+and up to capacity / k, and every bin of class k takes exactly k pieces, so a bin is placed by
+counting alone and each worker fills its own bins. A document becomes its full sequences and a tail,
+and a tail is cut into as few pieces as there can be when k pieces of a length, in a bin of their class,
+leave at most waste tokens. With 1024 and 8 that is 2.5 pieces for a tail, on average over its lengths.
 
 Each task numbers its own pieces. What does not fill a bin (fewer than k pieces per class and task)
 is dealt anew over fewer workers, each taking a bounded number of leftover pieces, and so on until
@@ -19,7 +19,8 @@ the queries have it, the file's added tokens are found in the texts as tokenizer
 id; else they are cut into ordinary pieces, which is tokenizers with encode_special_tokens.
 
 Edge cases: a null or empty text is the end id alone. Repeated rows are packed each on their own. A
-very long text becomes many full sequences. An empty table gives an empty result.
+very long text becomes many full sequences. An empty table gives an empty result. Null ids are packed like
+others. Columns besides id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,22 +120,29 @@ class Encoder:
         return self._line_end.join(lines)
 
 
-def class_sizes(capacity: int = CAPACITY, waste: int = WASTE) -> dict[int, int]:
-    """Piece length to pieces per bin, longest first; a length of one is always among them."""
-    sizes: dict[int, int] = {}
-    for k in range(1, capacity + 1):
-        if (length := capacity // k) not in sizes and capacity - (capacity // length) * length <= waste:
-            sizes[length] = capacity // length
-    return sizes
+def class_of(length: int, capacity: int = CAPACITY) -> int:
+    """The reciprocal class of a length, and how many pieces a bin of that class takes."""
+    return capacity // length
 
 
-def cut(total: int, sizes: list[int]) -> list[int]:
-    """Piece lengths that sum to total; sizes are in falling order, down to one."""
-    out, left = [], total
-    for length in sizes:
-        n, left = divmod(left, length)
-        out += [length] * n
-    return out
+def tail_cuts(capacity: int = CAPACITY, waste: int = WASTE) -> list[list[int]]:
+    """For each length under capacity, the fewest piece lengths, longest first, that sum to it.
+
+    A length may be a piece if a bin of its class, filled with it alone, leaves at most waste tokens; one
+    always may. Of several ways with as few pieces, that with the longest first piece is taken.
+    """
+    allowed = [n for n in range(capacity - 1, 0, -1) if capacity - class_of(n, capacity) * n <= waste]
+    cuts: list[list[int]] = [[]]
+    for total in range(1, capacity):
+        best = min((len(cuts[total - n]), -n) for n in allowed if n <= total)
+        cuts.append(sorted([-best[1], *cuts[total + best[1]]], reverse=True))
+    return cuts
+
+
+def cut(total: int, cuts: list[list[int]]) -> list[int]:
+    """Piece lengths that sum to total: full sequences, then the tail's pieces."""
+    full, tail = divmod(total, len(cuts))
+    return [len(cuts)] * full + cuts[tail]
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -143,19 +152,18 @@ PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens l
 class _Filler:
     """Numbers pieces into the bins of one worker at one level; sequence ids never meet another's."""
 
-    def __init__(self, level: int, group: int, sizes: dict[int, int]) -> None:
+    def __init__(self, level: int, group: int, capacity: int) -> None:
         self.base = (level << 59) | (group << 37)
-        self.sizes, self.open, self.next = sizes, {length: [] for length in sizes}, 0
+        self.capacity, self.open, self.next = capacity, defaultdict(list), 0
 
     def add(self, piece: tuple) -> list[tuple]:
         """The pieces of the bin that this one fills, if it does."""
-        length = piece[2]
-        held = self.open[length]
+        k = class_of(piece[2], self.capacity)
+        held = self.open[k]
         held.append(piece)
-        return self.close(length) if len(held) == self.sizes[length] else []
-
-    def close(self, length: int) -> list[tuple]:
-        held, self.open[length] = self.open[length], []
+        if len(held) < k:
+            return []
+        self.open[k] = []
         return self.sequence(held)
 
     def sequence(self, held: list[tuple]) -> list[tuple]:
@@ -169,14 +177,14 @@ class _Filler:
     def rest(self) -> Iterator[tuple]:
         for held in self.open.values():
             yield from held
-        self.open = {length: [] for length in self.sizes}
+        self.open.clear()
 
-    def mixed(self, capacity: int) -> Iterator[tuple]:
+    def mixed(self) -> Iterator[tuple]:
         """The open pieces over all classes, first fit in falling order of length."""
         bins: list[tuple[int, list]] = []
         for p in sorted(self.rest(), key=lambda p: (-p[2], p[0] is None, p[0] or 0, p[1])):
             for i, (used, held) in enumerate(bins):
-                if used + p[2] <= capacity:
+                if used + p[2] <= self.capacity:
                     held.append(p)
                     bins[i] = (used + p[2], held)
                     break
@@ -189,13 +197,12 @@ class _Filler:
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, waste: int = WASTE, added_tokens: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sizes = class_sizes(capacity, waste)
-    falling = list(sizes)
+    cuts = tail_cuts(capacity, waste)
 
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, filler = Encoder(tokenizer, added_tokens), _Filler(0, TaskContext.get().partitionId(), sizes)
+        encode, filler = Encoder(tokenizer, added_tokens), _Filler(0, TaskContext.get().partitionId(), capacity)
         end = np.array([END_ID], _WORD_IDS).tobytes()
 
         def placed():
@@ -203,7 +210,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, id_col: str = "do
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     ids = memoryview(encode(text.as_py()) + end)
                     total, start = len(ids) // 4, 0
-                    for length in cut(total, falling):
+                    for length in cut(total, cuts):
                         piece = (doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), total, None, None)
                         start += length
                         yield from filler.add(piece)
@@ -215,13 +222,13 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, id_col: str = "do
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            filler = _Filler(level, TaskContext.get().partitionId(), sizes)
+            filler = _Filler(level, TaskContext.get().partitionId(), capacity)
 
             def placed():
                 for batch in batches:
                     for piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                         yield from filler.add(piece)
-                yield from filler.mixed(capacity) if last else filler.rest()
+                yield from filler.mixed() if last else filler.rest()
 
             yield from by_bytes(placed(), PIECES, lambda r: 56)
 
@@ -229,7 +236,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, id_col: str = "do
 
     table = written(spark, rows.mapInArrow(first_level, PIECES_DDL), "pieces")
     result, left, level = table.where("sequence_id is not null"), table.where("sequence_id is null"), 0
-    per_worker = max(LEFT_PER_WORKER, 4 * sum(sizes.values()))  # a worker leaves less than a quarter of what it takes
+    per_worker = max(LEFT_PER_WORKER, 4 * sum({class_of(n, capacity) for own in cuts for n in own}))  # a worker leaves less than a quarter of what it takes
     while True:
         level, workers = level + 1, -(-left.count() // per_worker)
         placed = left.coalesce(max(1, workers)).mapInArrow(later_level(level, workers <= 1), PIECES_DDL)

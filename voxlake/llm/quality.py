@@ -6,20 +6,27 @@ prior pi, trusted positives P and unlabelled web text U,
     risk = pi * R+(P) + max(0, R-(U) - pi * R-(P)),
 
 where R+ and R- are the mean logistic losses for either sign. When the second term falls below
-zero, its gradient is followed upwards instead, so a flexible model does not overfit. The prior is
-the share of good documents among the labelled training rows. A last logistic calibration on labelled
-training rows turns the margin into a probability.
+zero, its gradient is followed upwards instead, so a flexible model does not overfit.
+
+Negative labels are never learned from. The prior is estimated from P and U: a linear classifier of P
+against U ranks a third of both that was held aside, and the share of U over a threshold, divided by that
+of P, bounds the prior from above; the threshold is the one whose ratio plus its sampling error is least
+(best bin estimation). A last logistic calibration of the margin minimises the unbiased risk of the two over
+the same third, which is convex, so scores are probabilities under the estimated prior.
 
 Features are computed over whole texts from their bytes: shares of each ASCII character, of
 transitions between character classes, repetition of words and of lines, and lengths. They know
 nothing of language, source or id.
 
 Training reads a sample of bounded size, chosen by hashed id: at most SAMPLE_POSITIVE trusted
-positives, SAMPLE_UNLABELLED unlabelled texts and SAMPLE_NEGATIVE labelled others (for calibration).
+positives and SAMPLE_UNLABELLED unlabelled texts. Rows are put in an order of their own first, so the
+same tables give the same model. Where all documents are labelled, the labelled ones count as unlabelled.
 
 Edge cases: null and empty texts have all shares zero and get a score like any other. Null ids and
-labels train nothing. Repeated rows are scored each. Without any labelled positive and other there
-is nothing to learn from; then every score is 1, so that a filter keeps all.
+labels train nothing. Repeated rows are scored each. With fewer than LEAST_ROWS positives or unlabelled texts there
+is nothing to learn from; then every score is 1, so that a filter keeps all. An empty table gives an
+empty result. Very long texts are read whole. Columns besides id and text are not looked at, whatever
+their names, and keep_good passes them through.
 """
 
 from __future__ import annotations
@@ -36,7 +43,8 @@ from voxlake.llm._core import labelled_sample, slices
 from voxlake.llm._text import U64, buffers, mixed, word_hashes
 from voxlake.llm.toxicity import logistic
 
-SAMPLE_POSITIVE, SAMPLE_UNLABELLED, SAMPLE_NEGATIVE = 8_000, 8_000, 3_000
+SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 8_000, 8_000
+LEAST_ROWS = 10
 #: Score from which a document is good.
 GOOD = 0.7
 
@@ -140,13 +148,14 @@ def _forward(x: np.ndarray, hidden: tuple, last: tuple) -> tuple[np.ndarray, np.
     return h @ last[0] + last[1], h
 
 
-def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, width: int = 16, epochs: int = 40, batch: int = 512, rate: float = 2e-3, decay: float = 1e-4, seed: int = 7) -> tuple[tuple, tuple]:
+def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, width: int = 16, epochs: int = 40, least_steps: int = 400, batch: int = 512, rate: float = 2e-3, decay: float = 1e-4, seed: int = 7) -> tuple[tuple, tuple]:
     """One hidden layer under the non-negative risk, by Adam."""
     rng = np.random.default_rng(seed)
     d = positive.shape[1]
     params = [rng.normal(0, 1 / np.sqrt(d), (d, width)), np.zeros(width), rng.normal(0, 1 / np.sqrt(width), width), np.zeros(1)]
     first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     steps = max(1, min(len(positive), len(unlabelled)) // batch)
+    epochs = max(epochs, least_steps // steps)
 
     def gradient(x: np.ndarray, sign: float) -> tuple[float, list[np.ndarray]]:
         """Mean logistic loss for the given sign, and its gradient."""
@@ -176,17 +185,57 @@ def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, width
     return (params[0], params[1]), (params[2], float(params[3][0]))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray, prior: float) -> Model:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1, slack: float = 0.01) -> float:
+    """The share of positives among the unlabelled, from rankings of both that training has not seen.
+
+    U(t) >= prior * P(t) for the tails over any threshold t, and nearly equal where no negative ranks that
+    high. The threshold is the one at which the ratio and its sampling error are least in sum.
+    """
+    at = np.unique(positive)
+    p = 1 - np.searchsorted(np.sort(positive), at) / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), at) / len(unlabelled)
+    error = (1 + slack) * (np.sqrt(np.log(4 / doubt) / (2 * len(unlabelled))) + np.sqrt(np.log(4 / doubt) / (2 * len(positive))))
+    return float(np.clip((u / p)[np.argmin((u + error) / p)], 0.01, 0.99))
+
+
+def calibrate(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float = 1e-4, rounds: int = 100) -> tuple[float, float]:
+    """(a, b) of sigmoid(a + b * margin) with the least unbiased logistic risk of positives and unlabelled.
+
+    The risk is mean over U of softplus(a + b z) less prior times the mean over P of a + b z; it is convex.
+    """
+    scale = max(1e-9, float(np.abs(unlabelled).mean()))
+    x = np.stack([np.ones(len(unlabelled)), unlabelled / scale], 1)
+    goal = prior * np.array([1.0, float(positive.mean()) / scale])
+    keep = np.diag([1e-6, ridge])
+
+    def risk(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, x @ w).mean() - goal @ w + w @ keep @ w / 2)
+
+    w = np.zeros(2)
+    for _ in range(rounds):
+        s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (s * (1 - s))[:, None]).T @ x / len(x) + keep, x.T @ s / len(x) - goal + keep @ w)
+        size = 1.0
+        while size > 1e-6 and risk(w - size * step) > risk(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return float(w[0]), float(w[1] / scale)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, seed: int = 7) -> Model:
+    """A model from positives and unlabelled alone; without a prior, it is estimated."""
+    rng = np.random.default_rng(seed)
     everything = np.vstack([positive, unlabelled])
     centre, spread = everything.mean(0), everything.std(0) + 1e-3
-    scaled = [((x - centre) / spread).clip(-8, 8) for x in (positive, unlabelled)]
-    hidden, last = train_nnpu(*scaled, prior)
-    draft = Model(centre, spread, hidden, last, (0.0, 1.0), prior)
-    # calibrate as if both labels came at their share of the labelled rows
-    margins = np.concatenate([draft.margin(positive), draft.margin(negative)])
-    w = logistic(margins[:, None], np.concatenate([np.ones(len(positive)), np.zeros(len(negative))]), ridge=0.01)
-    shift = np.log(prior / (1 - prior)) - np.log(len(positive) / len(negative))
-    return draft._replace(calibration=(float(w[0] + shift), float(w[1])))
+    (p, p_aside), (u, u_aside) = (np.split(x[rng.permutation(len(x))], [len(x) - len(x) // 3]) for x in (((a - centre) / spread).clip(-8, 8) for a in (positive, unlabelled)))
+    if prior is None:
+        w = logistic(np.vstack([p, u]), np.concatenate([np.ones(len(p)), np.zeros(len(u))]))
+        prior = estimate_prior(p_aside @ w[1:], u_aside @ w[1:])
+    hidden, last = train_nnpu(p, u, prior)
+    margins = [_forward(x, hidden, last)[0] for x in (p_aside, u_aside)]
+    return Model(centre, spread, hidden, last, calibrate(*margins, prior), prior)
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,24 +245,28 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in x], pa.binary()), batch.column(1).slice(a, b - a)], ["x", "label"])
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, others: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """A model from labels (the training rows alone) and from documents that others does not name.
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, others: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", prior: float | None = None) -> Model:
+    """A model from the positives among labels (the training rows alone) and from documents that others does not name.
 
-    others has the ids of all labelled documents, of any fold: none of them counts as unlabelled.
+    others has the ids of all labelled documents, of any fold: none of them counts as unlabelled, unless
+    there are no other documents; then those that labels names do, whatever their label.
     """
-    known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    rates = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    if len(rates) < 2:
-        return UNTRAINED
-    prior = min(0.99, max(0.01, rates[1] / (rates[0] + rates[1])))
+    rows = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label"))
+    known = rows.where("label = 1")
     free = docs.select(id_col).join(others.select(id_col), id_col, "left_anti").select(id_col, F.lit(2).alias("label"))
-    sample = labelled_sample(spark, docs, known.unionAll(free), {1: SAMPLE_POSITIVE, 0: SAMPLE_NEGATIVE, 2: SAMPLE_UNLABELLED}, id_col, text_col)
-    rows = sample.mapInArrow(_vectors, "x binary, label int").collect()
-    by = {k: np.array([np.frombuffer(r.x, np.float32) for r in rows if r.label == k], np.float64) for k in (0, 1, 2)}
-    if not len(by[0]) or not len(by[1]):
+    by = _sampled(spark, docs, known.unionAll(free), id_col, text_col)
+    if not len(by[2]):
+        by[2] = _sampled(spark, docs, rows.where("label in (0, 1)").select(id_col, F.lit(2).alias("label")), id_col, text_col)[2]
+    if min(len(by[1]), len(by[2])) < LEAST_ROWS:
         return UNTRAINED
-    unlabelled = by[2] if len(by[2]) else np.vstack([by[1], by[0]])
-    return fit(by[1], unlabelled, by[0], prior)
+    return fit(by[1], by[2], prior)
+
+
+def _sampled(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> dict[int, np.ndarray]:
+    """Features of the positives (1) and the unlabelled (2) of a bounded sample, in an order of their own."""
+    sample = labelled_sample(spark, docs, labels, {1: SAMPLE_POSITIVE, 2: SAMPLE_UNLABELLED}, id_col, text_col)
+    rows = sorted(((r.label, bytes(r.x)) for r in sample.mapInArrow(_vectors, "x binary, label int").collect()))
+    return {k: np.array([np.frombuffer(x, np.float32) for label, x in rows if label == k], np.float64).reshape(-1, N_FEATURES) for k in (1, 2)}
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,8 @@ logistic calibration on the training sample.
 Edge cases: null and empty texts have no words and get the score of a document without any scoring
 word. Null labels or ids train nothing. Ties in scores need no order. Repeated rows are scored each;
 a repeated label row counts as often as it stands. Where no toxic document, or no other, is
-labelled, all scores are 0. Very long texts are scanned whole, in time linear in their words.
+labelled, all scores are 0. Very long texts are scanned whole, in time linear in their words. An empty table
+gives an empty result. Columns besides id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -154,6 +155,19 @@ def choose_lexicon(toxic: dict[bytes, int], other: dict[bytes, int], all_toxic:
     return {f: d for _, f, d in sorted(found, reverse=True)[:size]}
 
 
+def background(histograms: list[list[float]], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and their shares of all words, from histograms (score, times, score, times, ...); other words score -COST."""
+    times: Counter[float] = Counter()
+    for h in histograms:
+        for score, n in zip(h[::2], h[1::2], strict=True):
+            times[score] += n
+    if not times:
+        times[1.0] = 1
+    values = np.array(sorted(times))
+    share = np.array([times[v] for v in values.tolist()]) / max(words, sum(times.values()) + 1)
+    return np.append(values, -COST), np.append(share, 1 - share.sum())
+
+
 def solve_scale(values: np.ndarray, shares: np.ndarray) -> float:
     """lambda > 0 with sum share * exp(lambda * value) = 1; the mean is negative."""
     low, high = 1e-6, 5.0
@@ -233,7 +247,7 @@ def fit(spark: SparkSession, toxic: DataFrame, other: DataFrame) -> Model:
 
     def counts(df: DataFrame, wanted, least: int) -> tuple[dict[bytes, int], int]:
         found = df.select("text").mapInArrow(_counted(wanted), ddl).groupBy("feature").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-        found = {bytes(r.feature): r.n for r in found.where(F.col("docs") >= least).orderBy(F.desc("docs")).limit(10 * LEXICON).collect()}
+        found = {bytes(r.feature): r.n for r in found.where(F.col("docs") >= least).orderBy(F.desc("docs"), "feature").limit(10 * LEXICON).collect()}
         return found, found.pop(b"", 0)
 
     n_toxic, all_toxic = counts(toxic, None, LEAST_DOCS)
@@ -249,20 +263,20 @@ def fit(spark: SparkSession, toxic: DataFrame, other: DataFrame) -> Model:
         scorer = Scorer(scan.value)
 
         def found():
+            held: Counter[float] = Counter()
             for batch in batches:
-                for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                for text in batch.column(0):
                     words = words_of(text.as_py())
-                    values = [s for w in words if (s := scorer.known.get(w) if w in scorer.known else scorer.word(w)) > 0]
-                    yield label, len(words), max((p.score for p in scorer.passages(words)[0]), default=0.0), values[:BURST]
+                    held.update(s for w in words if (s := scorer.known[w] if w in scorer.known else scorer.word(w)) > 0)
+                    yield 0, len(words), max((p.score for p in scorer.passages(words)[0]), default=0.0), []
+            yield -1, 0, 0.0, [x for pair in sorted(held.items()) for x in pair]
 
         yield from by_bytes(found(), _EVIDENCE, lambda r: 32 + 8 * len(r[3]))
 
     seen = toxic.unionAll(other)
-    tops = seen.select("text", "label").mapInArrow(look, "label int, words long, top double, hits array<double>").where("label = 0").collect()
-    lengths, highest = np.array([r.words for r in tops]), np.array([r.top for r in tops])
-    values = np.array([s for r in tops for s in r.hits] or [1.0])
-    share = np.full(len(values), 1 / max(lengths.sum(), len(values) + 1))
-    values, share = np.append(values, -COST), np.append(share, 1 - share.sum())
+    tops = other.select("text").mapInArrow(look, "label int, words long, top double, hits array<double>").collect()
+    lengths, highest = np.array([r.words for r in tops if r.label == 0]), np.array([r.top for r in tops if r.label == 0])
+    values, share = background([r.hits for r in tops if r.label < 0], int(lengths.sum()))
     scale = solve_scale(values, share)
     draft = draft._replace(scale=scale, log_k=solve_log_k(lengths, highest, scale))
     weigh = spark.sparkContext.broadcast(draft)

@@ -4,12 +4,15 @@ An ARC file begins with a version block whose first line is the file's own recor
 second line names the version; version 1 headers have five fields, version 2 headers ten. Each record
 is a header line and exactly the declared number of bytes. The converter parses the header by the
 file's version and the body by its declared length, and synthesises what WARC wants: a record id
-(a name-based UUID of the record, so that a second run gives the same), an ISO timestamp from the
-fourteen digits, a record type from the URL scheme, and SHA-1 digests of block and payload in base 32.
+(a name-based UUID of the archive's digest and the record's place in it, so that a second run over the
+same archives gives the same), an ISO timestamp from the fourteen digits, a record type from the URL
+scheme, and SHA-1 digests of block and payload in base 32.
 
 Records of equal payload (compared by SHA-256 and length) from least_bytes on become one response,
-that with the largest key, and revisits that refer to it. Payloads are grouped before the files are
-written, so only the files' own tasks hold payloads, one file's worth at a time. Files of about
+that with the largest key, and revisits that refer to it by its record id, URI and date. A private
+header, WARC-Refers-To-Key, repeats its key, so that a reader needs no join. Archives are parsed once, and
+payloads are grouped before the files are written, so only the files' own tasks hold payloads, one file's
+worth at a time. Files of about
 FILE_BYTES are written under a temporary name and then moved, and a task that runs again writes the
 same names, so lost executors leave no half files. Every record is a gzip member of its own.
 
@@ -17,7 +20,8 @@ Edge cases: a null payload counts as empty. A null URL becomes unknown:; blanks
 are percent-encoded. A null key is smaller than any other and comes back null. Repeated rows with equal
 key and payload are all responses where the key is the largest. Declared lengths beyond the end of a file
 raise an error, as do header lines with a wrong number of fields. An empty table gives no files and an
-empty result.
+empty result. Columns that are not named in a call are not looked at, whatever their names. A single archive file
+is read whole by one task.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm._core import by_bytes, shared_dir
+from voxlake.llm._core import by_bytes, shared_dir, written
 from voxlake.storage import Files
 
 #: Bytes of records, before compression, in one archive file.
@@ -79,9 +83,21 @@ def write_arc(records: list[ArcRecord], version: int, name: str = "legacy.arc",
     return b"".join(out)
 
 
+def unzipped(raw: bytes) -> bytes:
+    """The members of a gzip file, one after the other; other bytes as they are."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw
+    parts = []
+    while raw:
+        d = zlib.decompressobj(31)
+        parts.append(d.decompress(raw) + d.flush())
+        raw = d.unused_data.lstrip(b"\0")
+    return b"".join(parts)
+
+
 def read_arc(raw: bytes) -> Iterator[ArcRecord]:
-    """The records of an ARC file, version block first; its version decides how headers are parsed."""
-    at, fields = 0, 0
+    """The records of an ARC file, zipped or plain, version block first; its version decides how headers are parsed."""
+    raw, at, fields = unzipped(raw), 0, 0
     while at < len(raw):
         if raw[at : at + 1] == b"\n":
             at += 1
@@ -123,21 +139,31 @@ def iso_date(digits: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def record_id(r: ArcRecord) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{r.url} {r.date} {hashlib.sha256(r.body).hexdigest()}')}>"
+def record_id(archive: str, number: int) -> str:
+    """A name-based UUID: of the archive's own digest and the record's place in it."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{archive} {number}')}>"
+
 
+class Original(NamedTuple):
+    """The response that a revisit refers to."""
 
-def warc_record(r: ArcRecord, refers_to: int | None = None, revisit: bool = False) -> bytes:
-    """The WARC record that an ARC record becomes."""
+    key: int | None
+    id: str
+    url: str
+    date: str
+
+
+def warc_record(r: ArcRecord, identity: str, original: Original | None = None) -> bytes:
+    """The WARC record that an ARC record becomes; with an original, a revisit of it."""
     head, payload = split_http(r.body)
-    block = head if revisit else r.body
+    block = head if original else r.body
     scheme = r.url.split(":", 1)[0].lower()
-    kind = "revisit" if revisit else "warcinfo" if scheme == "filedesc" else "response" if head else "resource"
+    kind = "revisit" if original else "warcinfo" if scheme == "filedesc" else "response" if head else "resource"
     mime = "application/warc-fields" if kind == "warcinfo" else "application/http; msgtype=response" if head else r.mime
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {record_id(r)}",
+        f"WARC-Record-ID: {identity}",
         f"WARC-Date: {iso_date(r.date)}",
         f"WARC-Target-URI: {r.url}",
         f"WARC-IP-Address: {r.ip}",
@@ -146,21 +172,20 @@ def warc_record(r: ArcRecord, refers_to: int | None = None, revisit: bool = Fals
         f"Content-Type: {mime}",
         f"Content-Length: {len(block)}",
     ]
-    if revisit:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Key: {refers_to}"]
+    if original:
+        lines += [
+            f"WARC-Profile: {REVISIT_PROFILE}",
+            f"WARC-Refers-To: {original.id}",
+            f"WARC-Refers-To-Target-URI: {original.url}",
+            f"WARC-Refers-To-Date: {iso_date(original.date)}",
+            f"WARC-Refers-To-Key: {original.key}",
+        ]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def read_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of a WARC file, gzip members or plain."""
-    if raw[:2] == b"\x1f\x8b":
-        parts = []
-        while raw:
-            d = zlib.decompressobj(31)
-            parts.append(d.decompress(raw) + d.flush())
-            raw = d.unused_data
-        raw = b"".join(parts)
-    at = 0
+    raw, at = unzipped(raw), 0
     while at < len(raw):
         end = raw.index(b"\r\n\r\n", at)
         first, *lines = raw[at:end].decode("utf-8").split("\r\n")
@@ -176,8 +201,8 @@ def read_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 _ARC = pa.schema([("content", pa.binary())])
-_RECORDS = pa.schema([("key", pa.int64()), ("sha256", pa.binary()), ("size", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("body", pa.binary())])
-_RECORDS_DDL = "key long, sha256 binary, size long, url string, ip string, date string, mime string, body binary"
+_RECORDS = pa.schema([("key", pa.int64()), ("id", pa.string()), ("sha256", pa.binary()), ("size", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("body", pa.binary())])
+_RECORDS_DDL = "key long, id string, sha256 binary, size long, url string, ip string, date string, mime string, body binary"
 _READ = pa.schema([("key", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("date", pa.string())])
 
 
@@ -201,6 +226,11 @@ def pages_to_arc(pages: DataFrame, key_col: str = "page_id", url_col: str = "url
     return rows.mapInArrow(pack, "content binary")
 
 
+def load_archives(spark: SparkSession, path: str, pattern: str = "*.arc*") -> DataFrame:
+    """ARC files below a folder on any file system of Spark, zipped or plain, as rows (content)."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("content")
+
+
 def parse_arc(archives: DataFrame) -> DataFrame:
     """The records of ARC files (content), without their version blocks."""
 
@@ -208,22 +238,25 @@ def parse_arc(archives: DataFrame) -> DataFrame:
         def found():
             for batch in batches:
                 for content in batch.column(0):
-                    for r in read_arc(content.as_py()):
+                    raw = content.as_py()
+                    archive = hashlib.sha256(raw).hexdigest()
+                    for number, r in enumerate(read_arc(raw)):
                         if not r.url.startswith("filedesc:"):
                             head, payload = split_http(r.body)
-                            yield key_of(head), hashlib.sha256(payload).digest(), len(payload), *r
+                            yield key_of(head), record_id(archive, number), hashlib.sha256(payload).digest(), len(payload), *r
 
-        yield from by_bytes(found(), _RECORDS, lambda r: 200 + r[2])
+        yield from by_bytes(found(), _RECORDS, lambda r: 300 + r[3])
 
     return archives.select("content").mapInArrow(parse, _RECORDS_DDL)
 
 
 def convert_archives(spark: SparkSession, archives: DataFrame, folder: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> int:
     """Writes the records of ARC files (content) as WARC files into folder; returns how many records."""
-    records = parse_arc(archives)
-    groups = records.where(F.col("size") >= least_bytes).groupBy("sha256", "size").agg(F.max("key").alias("last"))
-    typed = records.join(groups, ["sha256", "size"], "left").select(
-        "key", "url", "ip", "date", "mime", "body", F.col("last").alias("refers_to"), (F.col("last").isNotNull() & ~F.col("key").eqNullSafe(F.col("last"))).alias("revisit")
+    records = written(spark, parse_arc(archives), "records")
+    originals = records.where(F.col("size") >= least_bytes).groupBy("sha256", "size").agg(F.max(F.struct("key", "id", "url", "date")).alias("o"))
+    revisit = F.col("o").isNotNull() & ~F.col("key").eqNullSafe(F.col("o.key"))
+    typed = records.join(originals, ["sha256", "size"], "left").select(
+        "key", "id", "url", "ip", "date", "mime", "body", F.when(revisit, F.col("o.key")).alias("o_key"), F.when(revisit, F.col("o.id")).alias("o_id"), F.when(revisit, F.col("o.url")).alias("o_url"), F.when(revisit, F.col("o.date")).alias("o_date")
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,12 +278,13 @@ def convert_archives(spark: SparkSession, archives: DataFrame, folder: str, leas
             held, size, number = [], 0, number + 1
 
         for batch in batches:
-            for _, url, ip, date, mime, body, refers_to, revisit in zip(*batch.columns, strict=True):
-                r = ArcRecord(url.as_py(), ip.as_py(), date.as_py(), mime.as_py(), body.as_py())
+            for _, identity, url, ip, date, mime, body, o_key, o_id, o_url, o_date in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                r = ArcRecord(url, ip, date, mime, body)
                 if not held:
                     info = ArcRecord("filedesc://converted", "0.0.0.0", r.date, "text/plain", b"format: WARC File Format 1.1\r\n")
-                    held.append(gzip.compress(warc_record(info), 6, mtime=0))
-                held.append(gzip.compress(warc_record(r, refers_to.as_py(), revisit.as_py()), 6, mtime=0))
+                    held.append(gzip.compress(warc_record(info, record_id(f"info {identity}", 0)), 6, mtime=0))
+                original = Original(o_key, o_id, o_url, o_date) if o_id else None
+                held.append(gzip.compress(warc_record(r, identity, original), 6, mtime=0))
                 size, total = size + len(r.body), total + 1
                 if size >= file_bytes:
                     flush()
@@ -260,7 +294,7 @@ def convert_archives(spark: SparkSession, archives: DataFrame, folder: str, leas
 
     Files(spark, folder).make()
     # in a fixed order, so that a task that runs again writes the same files
-    ordered = typed.sortWithinPartitions("refers_to", "key", "url")
+    ordered = typed.sortWithinPartitions("o_key", "key", "id")
     return ordered.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
