@@ -45,8 +45,8 @@ def test_query_runs(spark, name):
 def test_whole_volume(spark, tmp_path):
     rng, depth = np.random.default_rng(5), 437
     spark.createDataFrame([(i, rng.random(64).tolist()) for i in range(depth)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    shapes = {"scale_nearest_up": (655, 12, 12), "scale_nearest_down": (218, 4, 4), "affine_transpose": (8, 8, depth), "affine_mirror": (depth + 20, 8, 8), "voronoi": (depth, 8, 8)}
-    got = {name: catalogue.QUERIES[f"{name}_whole"](spark, str(tmp_path)).toPandas() for name in shapes}
+    shapes = {"scale_nearest_up": (655, 12, 12), "scale_nearest_down": (218, 4, 4), "affine_transpose": (8, 8, depth), "affine_mirror": (depth + 20, 8, 8), "voronoi": (depth, 8, 8), "triplanar_vote": (depth, 8, 8)}
+    got = {name: catalogue.QUERIES[name](spark, str(tmp_path)).toPandas() for name in shapes}
     for name, shape in shapes.items():
         at = got[name][["z", "y", "x"]].to_numpy()
         assert len(at) == np.prod(shape) and len(set(map(tuple, at.tolist()))) == len(at) and (at.max(0) + 1).tolist() == list(shape)

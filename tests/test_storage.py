@@ -3,9 +3,10 @@ import json
 import numpy as np
 import pytest
 
-from voxlake import storage
-from voxlake.plans.subjects import subjects
-from voxlake.sources import arrays, metadata, pyramids
+from voxlake import storage, tools
+from voxlake.__main__ import main
+from voxlake.plans.subjects import subject, subjects
+from voxlake.sources import arrays, codecs, metadata, ome, pyramids
 from voxlake.streaming.event_image import event_stream, hourly_image
 
 
@@ -118,11 +119,121 @@ def test_zarr_zip(spark, tmp_path):
 def test_zarr_codec_is_refused(tmp_path):
     arrays.write_zarr(np.zeros((2, 2)), str(tmp_path / "z"), (2, 2))
     meta = json.loads((tmp_path / "z/.zarray").read_text())
-    (tmp_path / "z/.zarray").write_text(json.dumps(meta | {"compressor": {"id": "blosc"}}))
+    (tmp_path / "z/.zarray").write_text(json.dumps(meta | {"compressor": {"id": "lzma"}}))
     with pytest.raises(ValueError):
         arrays.array_metadata(arrays.store_of(str(tmp_path / "z")), "")
 
 
+@pytest.mark.parametrize("codec", ["lz4", "zstd", "zlib", "snappy"])
+@pytest.mark.parametrize("shuffle", [0, 1, 2])
+@pytest.mark.parametrize("n", [0, 7, 1000, 70_001])
+def test_blosc_round_trip(codec, shuffle, n):
+    raw = (np.arange(n) // 7 % 900).astype("<u2").tobytes() + b"x" * (n % 2)
+    frame = codecs.blosc_encoded(raw, 2, codec, 3, shuffle, block=1 << 14)
+    assert codecs.blosc_decoded(frame) == raw
+    assert n < 1000 or len(frame) < len(raw) // 2
+    noise = np.random.default_rng(1).bytes(n)
+    assert codecs.blosc_decoded(codecs.blosc_encoded(noise, 4, codec, 3, shuffle)) == noise
+
+
+def test_blosc_frames_by_hand():
+    values = np.array([1, 2, 3, 258] * 2, "<u2")
+    head = lambda flags, size, block, all_: bytes([2, 1, flags, 2]) + np.array([size, block, all_], "<u4").tobytes()
+    # byte shuffle, one stream for each byte of an element, both stored as they are
+    low, high = bytes([1, 2, 3, 2] * 2), bytes([0, 0, 0, 1] * 2)
+    streams = b"".join(np.array([8], "<i4").tobytes() + s for s in (low, high))
+    assert codecs.blosc_decoded(head(0x21, 16, 16, 44) + np.array([20], "<i4").tobytes() + streams) == values.tobytes()
+    # the frame is a copy
+    assert codecs.blosc_decoded(head(0x22, 16, 16, 32) + values.tobytes()) == values.tobytes()
+    # bit shuffle: row k holds bit k of all elements
+    rows = bytes(sum(((int(v) >> k) & 1) << i for i, v in enumerate(values)) for k in range(16))
+    assert codecs.shuffled(values.tobytes(), 2, True) == rows and codecs.unshuffled(rows, 2, True) == values.tobytes()
+    assert codecs.blosc_decoded(head(0x34, 16, 16, 40) + np.array([20, 16], "<i4").tobytes() + rows) == values.tobytes()
+    with pytest.raises(ValueError):
+        codecs.blosc_decoded(head(0x10, 16, 16, 40) + bytes(24))
+
+
+@pytest.mark.parametrize("compressor", [None, {"id": "zlib", "level": 1}, {"id": "zstd", "level": 1}, {"id": "lz4"}, {"id": "blosc", "cname": "lz4", "shuffle": 2}])
+def test_image_round_trip(spark, tmp_path, compressor):
+    path, v = str(tmp_path / "i"), grid(spark, 5)
+    files = ome.write_image(spark, path, v, (5, 5, 5), (2, 3, 4), 1, dtype="<u2", options={"compressor": compressor}, labels=v.where("v > 99").selectExpr("z", "y", "x", "cast(v as int) as lbl"), name="n")
+    assert files > 3 * 2 * 2
+    assert sorted(map(tuple, ome.read_image(spark, path).collect())) == sorted(map(tuple, v.collect()))
+    assert ome.read_image(spark, path, 1).count() == 5 * 3 * 3
+    assert sorted(r.v for r in ome.read_image(spark, path, label="label", sparse=True).collect()) == list(range(100, 125))
+    meta = ome.attributes(path)["multiscales"][0]
+    assert meta["name"] == "n" and [d["path"] for d in meta["datasets"]] == ["0", "1"] and ome.attributes(f"{path}/labels") == {"labels": ["label"]}
+
+
+def test_slices_read_their_chunks_only(spark, tmp_path):
+    path, v = str(tmp_path / "i"), grid(spark, 8)
+    ome.write_image(spark, path, v, (8, 8, 8), (2, 4, 8), dtype="<u2")
+    source = lambda **o: arrays.ZarrSource({"path": path, "level": "0", "chunksPerTask": "1"} | o).reader(None)
+    assert len(source().partitions()) == 8 and len(source(slices="[2:4,:,3]").partitions()) == 2 and len(source(slices="[-1,5:,::2]").partitions()) == 1
+    assert len(source(slices="[8:,:,:]").partitions()) == 1 and source(slices="[8:,:,:]").partitions()[0].value == []
+    got = ome.read_image(spark, f"{path}?slices=[-1,5:,::2]")
+    assert sorted(map(tuple, got.collect())) == [(y, x, 7 * 64 + (y + 5) * 8 + 2 * x) for y in range(3) for x in range(4)]
+    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThan, LessThanOrEqual
+
+    pushed = source(pushdown="true")
+    filters = [GreaterThan(("z",), 3), LessThan(("z",), 6), EqualTo(("y",), 1), LessThanOrEqual(("v",), 1.0)]
+    assert list(pushed.pushFilters(filters)) == filters and len(pushed.partitions()) == 1
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        assert ome.read_image(spark, path).where("z = 3 and y > 5").count() == 16
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_image_options(spark, tmp_path):
+    assert ome.full_chunks((4, 4), (3, 9, 2)) == (3, 4, 2) and ome.storage_options({"a": 1}, 1) == [{"a": 1}] * 2 and ome.storage_options([{}, {"b": 2}], 1)[1] == {"b": 2}
+    for wrong in (lambda: ome.full_chunks((1, 1), (1,)), lambda: ome.storage_options([{}], 1)):
+        with pytest.raises(ValueError):
+            wrong()
+    assert ome.smoke_test(spark, str(tmp_path / "s")) and not (tmp_path / "s").exists()
+    with pytest.raises(FileExistsError):
+        ome.smoke_test(spark, str(tmp_path))
+
+
+def test_dice_command(spark, tmp_path, capsys):
+    v = grid(spark)
+    ome.write_image(spark, str(tmp_path / "a"), v.selectExpr("z", "y", "x", "cast(v > 31 as int) as v"), (4, 4, 4), (4, 4, 4), dtype="|u1")
+    b = np.zeros((4, 4, 4))
+    b[3] = 1
+    np.save(tmp_path / "b.npy", b)
+    assert main(["dice", str(tmp_path / "a"), f"file://{tmp_path}/b.npy"], spark) == pytest.approx(2 * 16 / 48)
+    assert "0.66" in capsys.readouterr().out
+
+
+def test_tools(tmp_path):
+    import io
+
+    a = np.arange(6).reshape(2, 3)
+    assert (tools.loads_numpy(tools.dumps_numpy(a)) == a).all() and tools.ImageFormat["BLOCKS"].value == 2
+    assert tools.chunks_of_text(tools.chunks_to_text((2, 3, 4))) == (2, 3, 4)
+    assert tools.expected_ndim(True, True) == tools.expected_ndim(False, False) == 3 and tools.ensure_ndim(4, False, True) == 4
+    with pytest.raises(ValueError):
+        tools.ensure_ndim(3, False, True)
+    assert tools.viewer_arguments((2.0, 1.0), (10, 5)) == {"translate": (-4.0, -2.0), "scale": (2.0, 1.0)}
+    one, two = io.StringIO(), io.StringIO()
+    both = tools.Tee(one, two)
+    assert both.write("ab") == 2 and one.getvalue() == two.getvalue() == "ab"
+    both.flush()
+    (tmp_path / "m").write_bytes(b"mask")
+    arrays.copy_mask(str(tmp_path / "m"), [str(tmp_path / "x/1"), str(tmp_path / "2")])
+    assert (tmp_path / "x/1").read_bytes() == (tmp_path / "2").read_bytes() == b"mask"
+    with pytest.raises(FileExistsError):
+        arrays.copy_mask(str(tmp_path / "m"), [str(tmp_path / "2")])
+    with pytest.raises(FileNotFoundError):
+        arrays.copy_mask(str(tmp_path / "none"), [])
+
+
+def test_npz(spark, tmp_path):
+    a = np.arange(6.0).reshape(1, 2, 3)
+    np.savez(tmp_path / "a.npz", probabilities=a, other=a * 0)
+    assert sum(r.v for r in arrays.read_npz(spark, f"file://{tmp_path}/*.npz", "probabilities").collect()) == 15
+
+
 def test_npy(spark, tmp_path):
     a = np.arange(-3.0, 3).reshape(1, 2, 3)
     np.save(tmp_path / "a.npy", a)
@@ -146,9 +257,17 @@ def test_slices_round_trip(spark, tmp_path):
     assert sorted(tuple(r) for r in back.select("z", "y", "x", "v").collect()) == sorted(map(tuple, v.collect()))
 
 
+#: Ids, thresholds of a plaque and largest intensities of some specimens.
+SPECIMENS = [("o22", 400.0, 1000.0), ("o23", 400.0, 1000.0), ("F1A1Te4Blaze", 3000.0, 7500.0), ("M7A1oldBlaze", 3000.0, 7500.0)]
+
+
 def test_subjects(spark):
-    rows = {r.subject_id: r for r in subjects(spark).collect()}
-    assert rows["F1A1Te4Blaze"].short_id == "F1A1Te4" and rows["o22"].channel == 1
+    table = spark.createDataFrame(SPECIMENS, "subject_id string, plaque_threshold double, max_threshold double")
+    rows = {r.subject_id: (r.short_id, r.channel) for r in subjects(table).collect()}
+    assert rows == {"o22": ("o22", 1), "o23": ("o23", 1), "F1A1Te4Blaze": ("F1A1Te4", 0), "M7A1oldBlaze": ("M7A1", 0)}
+    assert subject(table, "o23")["max_threshold"] == 1000.0
+    with pytest.raises(KeyError):
+        subject(table, "o24")
 
 
 def test_hourly_image(spark, tmp_path):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxlake.functions import voxel
 from voxlake.operators import blocks, evaluation, gather, kernels, keyed, labels, objects, reduction, slices
 from voxlake.operators.blocks import Grid
+from voxlake.operators.handles import BlockArray, map_all, pad_to_multiple
 from voxlake.plans import flows
 from voxlake.sources import paths, volumes
 
@@ -108,6 +109,20 @@ def test_voronoi(spark, cell):
     assert all(got[y, x] == expected[y][x] for y in range(3) for x in range(3) if (y, x) != (2, 0))
 
 
+@pytest.mark.parametrize("cell", [0.5, 1, 7, 1000])
+def test_nearest_seed_of_any_cell(spark, cell, monkeypatch):
+    rng = np.random.default_rng(2)
+    at, seeds = rng.integers(-30, 200, (60, 2)), rng.integers(-50, 400, (9, 2))
+    rows = [(int(y), int(x), i % 7) for i, (y, x) in enumerate(at)] + [(3, 3, 0), (3, 3, 0)]
+    points = spark.createDataFrame(rows, "y long, x long, seen int")
+    table = spark.createDataFrame([(k, int(y), int(x)) for k, (y, x) in enumerate(seeds)] + [(9, *map(int, seeds[0]))], "seed int, y long, x long")
+    got = sorted(map(tuple, gather.nearest_seed(spark, points, table, YX, cell=cell).collect()))
+    assert got == sorted((y, x, n, int(((seeds - (y, x)) ** 2).sum(1).argmin())) for y, x, n in rows)
+    monkeypatch.setattr(gather, "SEEDS_AT_ONCE", 3)
+    assert sorted(map(tuple, gather.nearest_seed(spark, points, table, YX).collect())) == got
+    assert {r.seed for r in gather.nearest_seed(spark, points, table.limit(0), YX, cell=cell).collect()} == {None}
+
+
 def brute_labels(mask):
     label, shape = {}, mask.shape
     for p in map(tuple, np.argwhere(mask)):
@@ -275,6 +290,68 @@ def test_watershed_invariants():
     assert not kernels.watershed(np.zeros((3, 3), bool)).any()
 
 
+def test_watershed_numbers_middle_components_first():
+    mask = np.zeros((12, 30), bool)
+    mask[0:2, 0:2] = mask[0:3, 8:12] = mask[5:7, 0:2] = mask[5:12, 8:30] = True
+    out = kernels.watershed_3sizes(mask, 5, 1.0, None, 20, 1.5, 3)
+    # the middle component first, then the small ones in scan order, then the large one
+    assert (out[0, 8], out[0, 0], out[5, 0], out[8, 15]) == (1, 2, 3, 4) and np.unique(out).tolist() == [0, 1, 2, 3, 4]
+    assert not kernels.watershed_3sizes(np.zeros((2, 2), bool)).any()
+
+
+def test_map_all(spark):
+    import pandas as pd
+
+    grid = Grid((4, 4), (2, 2), YX)
+    df = to_df(spark, np.arange(16.0).reshape(4, 4), YX)
+
+    def sums(block, parts):
+        return pd.DataFrame({"by": [block[0]], "bx": [block[1]], "n": [sum(len(p) * 10**k for k, p in enumerate(parts))]})
+
+    frames, ddl = [df, df.where("v > 3"), df.where("v > 11")], "by int, bx int, n long"
+    assert sorted(r.n for r in map_all(frames, grid, sums, ddl, missing="empty").collect()) == [24, 24, 244, 244]
+    assert sorted(r.n for r in map_all(frames, grid, sums, ddl, missing="drop").collect()) == [244, 244]
+    with pytest.raises(Exception, match="no block"):
+        map_all(frames, grid, sums, ddl).collect()
+
+
+def test_handle(spark):
+    a = np.arange(24.0).reshape(4, 6)
+    grid = Grid((4, 6), ((1, 3), 4), YX)
+    handle = BlockArray(to_df(spark, a, YX), grid)
+    assert handle.properties() == {"repr_format": "blocks of voxels", "ndim": 2, "numblocks": (2, 2), "chunksize": (1, 4), "is_numpy": False, "dtype": "double"}
+    assert handle.block_indices() == [(0, 0), (0, 1), (1, 0), (1, 1)] and handle.slices_list()[3] == (slice(1, 4), slice(4, 6))
+    assert (handle.to_numpy() == a).all() and handle.total().first().total == a.sum() and handle.rechunked((2, 2)).numblocks == (2, 3)
+    back = BlockArray.from_blocks(spark, {i: a[s] for i, s in zip(handle.block_indices(), handle.slices_list())}, grid)
+    assert (back.to_numpy() == a).all()
+    padded = pad_to_multiple(handle, 5, spark)
+    assert padded.grid.shape == (5, 10) and padded.grid.chunks == ((1, 3, 1), 4) and (padded.to_numpy() == np.pad(a, ((0, 1), (0, 4)))).all()
+    for wrong in (lambda: handle.to_numpy(most=3), lambda: handle.column("none"), lambda: BlockArray.from_blocks(spark, {i: a for i in handle.block_indices()}, grid)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_polynomial_bias(spark, tmp_path):
+    y, x = np.mgrid[:6, :5] / np.array([5, 4]).reshape(2, 1, 1)
+    a = 3 + 2 * y - x + y * x + 0.5 * x * x + np.random.default_rng(3).random((6, 5))
+    grid = Grid(a.shape, (3, 5), YX)
+    terms = np.stack([np.ones(30), y.ravel(), x.ravel(), (y * y).ravel(), (y * x).ravel(), (x * x).ravel()], 1)
+    want = (terms @ np.linalg.lstsq(terms, a.ravel(), rcond=None)[0]).reshape(a.shape) / a.mean()
+    field = flows.obtain_bias(spark, lambda: flows.polynomial_bias(to_df(spark, a, YX), grid), f"file://{tmp_path}/bias")
+    assert np.allclose(to_array(field.withColumnRenamed("b", "v"), a.shape, YX), want)
+    again = flows.obtain_bias(spark, lambda: 1 / 0, f"file://{tmp_path}/bias")
+    assert again.count() == 30
+
+
+def test_production_resumes(spark, tmp_path):
+    v = volumes.coord_map(spark, (8, 8, 8), lambda z, y, x: F.lit(1000) + 40 * ((F.floor(z / 2) + F.floor(y / 2) + F.floor(x / 2)) % 2) + 300 * ((z == 7) & (y == 7)).cast("int"))
+    grid, how = Grid((4, 4, 4), (2, 4, 4)), flows.Production(counting=flows.Counting(threshold=985.0))
+    first = flows.production(spark, v, grid, how, stages=f"file://{tmp_path}/run")
+    assert {r.v for r in first["reduced"].collect()} == {1000, 1040, 1300, 1340} and first["corrected"].where("v = 0").count() == 4
+    again = flows.production(spark, v.where("v < 0"), grid, how, stages=f"file://{tmp_path}/run")
+    assert sorted(map(tuple, again["totals"].collect())) == sorted(map(tuple, first["totals"].collect())) != []
+
+
 def test_blobs():
     a = np.zeros((17, 17))
     a[8, 8] = 1

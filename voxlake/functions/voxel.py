@@ -36,6 +36,11 @@ def above(v: Column, threshold: float) -> Column:
     return v.cast("double") > F.lit(float(threshold))
 
 
+def xor(a: Column, b: Column) -> Column:
+    """Whether exactly one of two conditions holds."""
+    return a != b
+
+
 def masked(v: Column, threshold: float) -> Column:
     """v where it exceeds the threshold, else 0."""
     return F.when(above(v, threshold), v.cast("double")).otherwise(F.lit(0.0))

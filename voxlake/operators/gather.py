@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxlake.functions.voxel import clipped, gather_index
 from voxlake.sources.volumes import AXES, coordinates
+from voxlake.storage import written
 
 #: Most seeds that are sent to every task in one piece.
 SEEDS_AT_ONCE = 20_000
@@ -47,34 +48,53 @@ def _distance2(axes: tuple[str, ...], prefix: str) -> Column:
     return out
 
 
-def nearest_seed(spark: SparkSession, points: DataFrame, seeds: DataFrame, axes: tuple[str, ...] = AXES, seed: str = "seed", cell: int | None = None) -> DataFrame:
-    """points with the index of the nearest seed; of equally near ones the smallest.
+def nearest_seed(spark: SparkSession, points: DataFrame, seeds: DataFrame, axes: tuple[str, ...] = AXES, seed: str = "seed", cell: float | None = None) -> DataFrame:
+    """points with the index of the nearest seed; of equally near ones the smallest, without any seed null.
 
-    Without cell, all seeds of at most SEEDS_AT_ONCE travel in one array beside the points, and each
-    point takes the minimum over it. With cell, an edge length no less than the distance from any point to its
-    nearest seed, points meet only the seeds of their own and neighbouring cells.
+    Up to SEEDS_AT_ONCE seeds travel in one array beside the points, and each point takes the minimum over
+    it. With more, or with cell, each place meets the seeds of its own and the neighbouring cells; one
+    nearer than a cell's edge is proven, and places without goes on with cells of twice the edge. Any cell
+    gives the same result; one near the usual distance to a seed gives it in a round or two.
     """
     if cell is None:
         n = seeds.count()
-        if n > SEEDS_AT_ONCE:
-            raise ValueError(f"{n} seeds: give a cell width")
-        every = seeds.agg(F.collect_list(F.struct(seed, *[F.col(a).cast("double").alias(a) for a in axes])).alias("__seeds"))
-
-        def d2(s: Column) -> Column:
-            total = F.lit(0.0)
-            for a in axes:
-                total = total + (F.col(a).cast("double") - s[a]) * (F.col(a).cast("double") - s[a])
-            return total
-
-        best = F.array_min(F.transform("__seeds", lambda s: F.struct(d2(s).alias("d2"), s[seed].alias("seed"))))
-        return points.join(F.broadcast(every)).withColumn(seed, best["seed"]).drop("__seeds")
+        if n <= SEEDS_AT_ONCE:
+            every = seeds.agg(F.collect_list(F.struct(seed, *[F.col(a).cast("double").alias(a) for a in axes])).alias("__seeds"))
+
+            def d2(s: Column) -> Column:
+                total = F.lit(0.0)
+                for a in axes:
+                    total = total + (F.col(a).cast("double") - s[a]) * (F.col(a).cast("double") - s[a])
+                return total
+
+            best = F.array_min(F.transform("__seeds", lambda s: F.struct(d2(s).alias("d2"), s[seed].alias("seed"))))
+            return points.join(F.broadcast(every)).withColumn(seed, best["seed"]).drop("__seeds")
+    ends = [f(a).cast("double").alias(f"{k}{a}") for k, f in (("low", F.min), ("high", F.max)) for a in axes]
+    spans = [df.agg(*ends).first() for df in (seeds, points)]
+    if any(r[0] is None for r in spans):
+        return points.withColumn(seed, F.lit(None).cast(dict(seeds.dtypes)[seed]))
+    extent = max(max(r[f"high{a}"] for r in spans) - min(r[f"low{a}"] for r in spans) for a in axes) + 1
+    cell = float(cell) if cell else max(1.0, extent / n ** (1 / len(axes)))
+    left, proven = points.select(*axes).distinct(), None
+    while left is not None:
+        found = written(spark, _met(left, seeds, axes, seed, cell), "nearest")
+        sure = F.lit(True) if cell > extent else F.coalesce(F.col("d2") < cell * cell, F.lit(False))
+        near = found.where(sure).select(*axes, "__seed")
+        proven = near if proven is None else proven.unionAll(near)
+        left = found.where(~sure).select(*axes)
+        cell, left = 2 * cell, None if left.isEmpty() else left
+    return points.join(proven.withColumnRenamed("__seed", seed), list(axes), "left").select(*points.columns, seed)
+
+
+def _met(places: DataFrame, seeds: DataFrame, axes: tuple[str, ...], seed: str, cell: float) -> DataFrame:
+    """For each place the nearest seed of its own and the neighbouring cells: axes, d2, __seed; null where these have none."""
     home = [F.floor(F.col(a) / cell).alias(f"__h{a}") for a in axes]
-    spread = seeds.select(seed, *[F.col(a).cast("double").alias(f"s{a}") for a in axes])
+    spread = seeds.select(F.col(seed).alias("__seed"), *[F.col(a).cast("double").alias(f"s{a}") for a in axes])
     for a in axes:
         spread = spread.withColumn(f"__h{a}", F.explode(F.array(*[F.floor(F.col(f"s{a}") / cell) + k for k in (-1, 0, 1)])))
-    met = points.select("*", *home).join(spread, [f"__h{a}" for a in axes])
-    kept = [c for c in points.columns]
-    return met.groupBy(*kept).agg(F.min(F.struct(_distance2(axes, "s").alias("d2"), F.col(seed).alias("s"))).alias("b")).select(*kept, F.col("b.s").alias(seed))
+    met = places.select("*", *home).join(spread, [f"__h{a}" for a in axes], "left")
+    nearest = F.min(F.when(F.col("__seed").isNotNull(), F.struct(_distance2(axes, "s").alias("d2"), F.col("__seed").alias("s"))))
+    return met.groupBy(*axes).agg(nearest.alias("b")).select(*axes, F.col("b.d2").alias("d2"), F.col("b.s").alias("__seed"))
 
 
 def split_by_seeds(labels: DataFrame, seeds: DataFrame, axes: tuple[str, ...] = AXES, most: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.storage import written
+from voxlake.storage import discard, written
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -24,7 +24,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         near = labels.join(seen, "node").select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
         moved = near.join(jump, "comp", "left").select("node", F.least("comp", F.coalesce("next", "comp")).alias("comp"), "old")
-        moved = written(spark, moved, "labels")
+        before, moved = labels, written(spark, moved, "labels")
         labels = moved.select("node", "comp")
-        if moved.where("comp <> old").isEmpty():
+        done = moved.where("comp <> old").isEmpty()
+        discard(spark, before)
+        if done:
+            discard(spark, once)
             return labels

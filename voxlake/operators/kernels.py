@@ -68,34 +68,41 @@ def flood(height: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarr
 
 
 def watershed(mask: np.ndarray, seed_distance: float = 1.0, least: float | None = None) -> np.ndarray:
-    """Objects grown from the voxels at least seed_distance deep; smaller ones than least give way to neighbours.
+    """Objects grown from the voxels at least seed_distance deep, numbered by their seeds in scan order.
 
-    What no remaining object reaches becomes objects of its own, so the foreground stays whole.
+    With least, objects of fewer voxels lose their seeds, and the others grow over them. Foreground that no
+    object reaches, as it holds no seed or only lost ones, becomes objects of its own, numbered after the rest,
+    so the foreground stays whole.
     """
     if not mask.any():
         return np.zeros(mask.shape, np.int64)
-    depth = distance_transform(mask)
-    depth = np.where(np.isinf(depth), float(sum(mask.shape)), depth)
-    markers = label_dense(mask & (depth >= seed_distance))
-    out = flood(-depth, markers, mask)
+    depth = np.minimum(distance_transform(mask), float(sum(mask.shape)))
+    seeds = label_dense(mask & (depth >= seed_distance))
+    grown = flood(-depth, seeds, mask)
     if least is not None:
-        sizes = np.bincount(out.ravel())
-        small = sizes < least
-        small[0] = False
-        out = flood(-depth, np.where(small[out], 0, markers), mask)
-    left = label_dense(mask & (out == 0))
-    return np.where(left > 0, left + out.max(), out)
+        weak = np.flatnonzero(np.bincount(grown.ravel()) < least)
+        if len(weak := weak[weak > 0]):
+            grown = flood(-depth, np.where(np.isin(grown, weak), 0, seeds), mask)
+    missed = label_dense(mask & (grown == 0))
+    grown[missed > 0] = missed[missed > 0] + grown.max()
+    return grown
 
 
 def watershed_3sizes(mask: np.ndarray, size1: float = 60, distance1: float = 1.0, least1: float | None = None, size2: float = 100, distance2: float = 1.5, least2: float | None = 60) -> np.ndarray:
-    """Components under size1 stay whole; those under size2 and the others are split at two depths. Ids are dense."""
-    first = label_dense(mask)
-    sizes = np.bincount(first.ravel(), minlength=1)[first]
-    parts = [np.where(mask & (sizes < size1), first, 0), watershed(mask & (sizes >= size1) & (sizes < size2), distance1, least1), watershed(mask & (sizes >= size2), distance2, least2)]
+    """Components under size1 stay whole, those under size2 are split at one depth and larger ones at another.
+
+    Ids are dense from 1: first the objects of the middle components, then the small components, then the
+    objects of the large ones, each in the order that their own step gives.
+    """
+    components = label_dense(mask)
+    extent = np.bincount(components.ravel(), minlength=1)[components]
+    middle, large = mask & (extent >= size1) & (extent < size2), mask & (extent >= size2)
+    order = np.select([middle, large], [0, 2], 1)
+    own = np.select([middle, large], [watershed(middle, distance1, least1), watershed(large, distance2, least2)], components)
     out = np.zeros(mask.shape, np.int64)
-    for p in parts:
-        out = np.where(p > 0, p + out.max(), out)
-    return np.unique(np.concatenate([[0], out.ravel()]), return_inverse=True)[1][1:].reshape(mask.shape)
+    if mask.any():
+        out[mask] = np.unique(np.stack([order[mask], own[mask]]), axis=1, return_inverse=True)[1].ravel() + 1
+    return out
 
 
 def gaussian(a: np.ndarray, sigma: float, reach: float = 4.0) -> np.ndarray:

@@ -15,6 +15,11 @@ def setdiff_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.subtract(b)
 
 
+def unique_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """Distinct rows of some columns, of any type, and how often each stands."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
 def unique_with_inverse(df: DataFrame, column: str) -> DataFrame:
     """df with inverse, the rank from 0 of each row's value among the distinct values."""
     from voxlake.operators.labels import dense_ids
@@ -48,6 +53,40 @@ def remove(entries: DataFrame, key: str) -> DataFrame:
     return entries.where(F.col("k") != key).withColumn("pos", F.when(F.col("pos") > found.pos, F.col("pos") - 1).otherwise(F.col("pos")))
 
 
+def pop(entries: DataFrame, key: str, default: object = KeyError) -> tuple[DataFrame, object]:
+    """The entries without a key, and its value; without the key, the same entries and the default, if one is given."""
+    found = entries.where(F.col("k") == key).select("v").first()
+    if found is None:
+        if default is KeyError:
+            raise KeyError(key)
+        return entries, default
+    return remove(entries, key), found.v
+
+
+def clear(entries: DataFrame) -> DataFrame:
+    """No entries, of the same columns."""
+    return entries.where(F.lit(False))
+
+
+def ordered(entries: DataFrame) -> DataFrame:
+    """Entries in the order of their keys."""
+    return entries.orderBy("pos")
+
+
+def key_at(entries: DataFrame, i: int) -> str:
+    """The key at a place; negative places count from the end."""
+    place = F.lit(i) if i >= 0 else entries.count() + i
+    found = entries.where(F.col("pos") == place).select("k").first()
+    if found is None:
+        raise IndexError(i)
+    return found.k
+
+
+def first_rows(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """The n first rows in the order of some columns: a top-k, without a full sort."""
+    return df.orderBy(*by).limit(n)
+
+
 def rename(entries: DataFrame, old: str, new: str) -> DataFrame:
     """A key's new name in its old place; the new name must be free."""
     if not entries.where(F.col("k") == new).isEmpty():
@@ -60,9 +99,9 @@ def rename(entries: DataFrame, old: str, new: str) -> DataFrame:
 def reorder(entries: DataFrame, keys: list[str]) -> DataFrame:
     """All entries in the order of keys, which must be exactly theirs."""
     place = F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("k")) - 1
-    have = {r.k for r in entries.select("k").collect()}
-    if have != set(keys) or len(keys) != len(have):
-        raise KeyError(f"keys differ: {sorted(have ^ set(keys))}")
+    counts = entries.agg(F.count("*").alias("n"), F.count_if(F.col("k").isin(keys)).alias("named")).first()
+    if not len(set(keys)) == len(keys) == counts.n == counts.named:
+        raise KeyError(f"{len(set(keys))} keys, {counts.n} entries, {counts.named} of them named")
     return entries.withColumn("pos", place.cast(dict(entries.dtypes)["pos"]))
 
 

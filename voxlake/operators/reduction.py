@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,17 +14,19 @@ from voxlake.operators.blocks import Grid
 REDUCTIONS = {"min": F.min, "max": F.max, "mean": F.avg, "sum": F.sum, "any": lambda c: F.max((F.col(c) != 0).cast("int"))}
 
 
-def block_reduce(df: DataFrame, size: tuple[int, ...], shape: tuple[int, ...], how: str = "max", axes: tuple[str, ...] = ("z", "y", "x"), value: str = "v") -> DataFrame:
+def block_reduce(df: DataFrame, size: tuple[int, ...], shape: tuple[int, ...], how: str | Callable[[Column], Column] = "max", axes: tuple[str, ...] = ("z", "y", "x"), value: str = "v") -> DataFrame:
     """One value for each whole box of the given size; boxes that the volume cuts off are dropped.
 
-    Coordinates become box numbers, and the aggregate combines before its shuffle.
+    how is one of REDUCTIONS or a function from a column to any aggregate of it, such as F.median or a grouped
+    pandas UDF. Coordinates become box numbers, and the aggregate combines before its shuffle if it can.
     """
-    if how not in REDUCTIONS:
+    if not callable(how) and how not in REDUCTIONS:
         raise ValueError(f"unknown reduction {how}")
+    reduced = how(F.col(value)) if callable(how) else REDUCTIONS[how](value)
     whole = [F.col(a) < (n // s) * s for a, n, s in zip(axes, shape, size, strict=True) if n % s]
     rows = reduce(lambda d, c: d.where(c), whole, df)
     boxes = [F.expr(f"cast({a} div {s} as bigint)").alias(a) for a, s in zip(axes, size, strict=True)]
-    return rows.groupBy(*boxes).agg(REDUCTIONS[how](value).alias(value))
+    return rows.groupBy(*boxes).agg(reduced.alias(value))
 
 
 def reduced_shape(size: tuple[int, ...], shape: tuple[int, ...]) -> tuple[int, ...]:

@@ -14,6 +14,10 @@ from voxlake.sources.volumes import AXES
 PLANES = {"yx": (0, 1, 2), "xz": (1, 2, 0), "zy": (2, 0, 1)}
 
 
+#: Weights under this are rounding errors of the sine at the last slice.
+LEAST_WEIGHT = 1e-9
+
+
 def plane_names(triplanar: bool) -> list[str]:
     return list(PLANES) if triplanar else ["yx"]
 
@@ -56,7 +60,8 @@ def vote(predictions: list[DataFrame], weights: list[float] | None = None, edge_
     """z, y, x, seg: whether the weighted mean of normalised predictions is above 0.
 
     Each prediction is clipped and divided by its own population deviation; edge_axes names for each
-    the axis and its length along which border slices weigh less.
+    the axis and its length along which border slices weigh less; a weight under LEAST_WEIGHT counts as
+    none, and a voxel that no prediction weighs is background.
     """
     weights = weights or [1.0] * len(predictions)
     parts = []
@@ -64,6 +69,7 @@ def vote(predictions: list[DataFrame], weights: list[float] | None = None, edge_
         v = F.least(F.greatest(F.col("v").cast("double"), F.lit(-limit)), F.lit(limit))
         spread = p.agg(F.stddev_pop(v).alias("__sd"))
         wk = edge_window(F.col(edge_axes[k][0]), edge_axes[k][1], w) if edge_axes else F.lit(w)
+        wk = F.when(F.abs(wk) < LEAST_WEIGHT, 0.0).otherwise(wk)
         parts.append(p.join(F.broadcast(spread)).select(*AXES, (F.try_divide(v, F.col("__sd")) * wk).alias("wv"), wk.alias("w")))
     both = reduce(DataFrame.unionAll, parts)
     return both.groupBy(*AXES).agg(F.coalesce(F.try_divide(F.sum("wv"), F.sum("w")) > 0, F.lit(False)).alias("seg"))

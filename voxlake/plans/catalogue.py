@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,13 @@ from pyspark.sql import functions as F
 from voxlake.functions import voxel
 from voxlake.operators import blocks, evaluation, gather, kernels, keyed, labels, objects, reduction, slices
 from voxlake.operators.blocks import Grid
+from voxlake.operators.handles import BlockArray, map_all, pad_to_multiple
 from voxlake.plans import flows
+from voxlake.plans.subjects import subjects
 from voxlake.session import read_table
-from voxlake.sources import paths, volumes
+from voxlake.sources import arrays, ome, paths, pyramids, volumes
+from voxlake.storage import cached, shared_dir
+from voxlake.tools import chunks_to_text, dumps_numpy, loads_numpy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -412,14 +417,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scale_sql(s: float) -> str:
     """The input voxel under each output voxel's centre, for a scale of all axes."""
     at = ", ".join(f"cast(least(greatest(floor(({1 / s!r})::double * (o{a}.i + 0.5::double)), 0), {n} - 1) as bigint) as {a}" for a, n in zip("zyx", ("d", 8, 8), strict=True))
-    return f"with {_V}, {_DIM}, o as (select oz.i as oz, oy.i as oy, ox.i as ox, {at} from dim, range(4096) oz(i), range({int(8 * s)}) oy(i), range({int(8 * s)}) ox(i) where oz.i < floor(least(d, 400) * {s!r}::double)) select oz as z, oy as y, ox as x, v from o join vol using (z, y, x)"
+    return f"with {_V}, {_DIM}, oz as (select unnest(range(cast(floor(d * {s!r}::double) as bigint))) as i from dim), o as (select oz.i as oz, oy.i as oy, ox.i as ox, {at} from dim, oz, range({int(8 * s)}) oy(i), range({int(8 * s)}) ox(i)) select oz as z, oy as y, ox as x, v from o join vol using (z, y, x)"
 
 
 def _scaled(s: float):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        shape = volumes.volume_shape(spark, sf_dir)
-        out = (int(min(shape[0], 400) * s), int(8 * s), int(8 * s))
-        return gather.scale_nearest(spark, _volume(spark, sf_dir), s, shape, out)
+        return gather.scale_nearest(spark, _volume(spark, sf_dir), s, volumes.volume_shape(spark, sf_dir))
 
     return run
 
@@ -428,70 +431,30 @@ query("scale_nearest_up", _scale_sql(1.5))(_scaled(1.5))
 query("scale_nearest_down", _scale_sql(0.5))(_scaled(0.5))
 
 
-@query("affine_transpose", f"with {_V} select x as z, y, z as x, v from vol where z < 200")
+@query("affine_transpose", f"with {_V} select x as z, y, z as x, v from vol")
 def affine_transpose(spark, sf_dir):
-    shape = volumes.volume_shape(spark, sf_dir)
-    swap = [[0.0, 0.0, 1.0], [0.0, 1.0, 0.0], [1.0, 0.0, 0.0]]
-    return gather.affine_nearest(spark, _volume(spark, sf_dir), swap, [0.0] * 3, shape, (8, 8, min(200, shape[0])))
-
-
-@query("affine_mirror", f"with {_V} select z, y, 7 - x as x, case when z < 100 then v else 0 end as v from (select * from vol where z < 100 union all select z, y, x, 0 from vol where z >= 100 and z < 120)")
-def affine_mirror(spark, sf_dir):
-    matrix = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, -1.0]]
-    part = _volume(spark, sf_dir).where("z < 100")
-    return gather.affine_nearest(spark, part, matrix, [0.0, 0.0, 8.0], (100, 8, 8), (120, 8, 8), cval=0.0)
-
-
-@query(
-    "voronoi",
-    f"with {_V}, seeds as (select z // 10 as seed, (z * 7) % 100 as sz, (z // 10) % 8 as sy, (z // 20) % 8 as sx from (select distinct z from vol where z < 200 and z % 10 = 0)) "
-    "select z, y, x, arg_min(seed, (((z - sz) * (z - sz) + (y - sy) * (y - sy) + (x - sx) * (x - sx)) * 1000 + seed)) as seed from (select z, y, x from vol where z < 100), seeds group by z, y, x",
-)
-def voronoi(spark, sf_dir):
-    v = _volume(spark, sf_dir)
-    seeds = v.where("z < 200 and z % 10 = 0 and y = 0 and x = 0").select(F.expr("z div 10").alias("seed"), ((F.col("z") * 7) % 100).alias("z"), F.expr("(z div 10) % 8").alias("y"), F.expr("(z div 20) % 8").alias("x"))
-    return gather.nearest_seed(spark, v.where("z < 100").select(*AXES), seeds)
-
-
-# The five queries above read a part of the volume, as their SQL does; those below do the same over all of it.
-
-
-def _scale_whole_sql(s: float) -> str:
-    at = ", ".join(f"cast(least(greatest(floor(({1 / s!r})::double * (o{a}.i + 0.5::double)), 0), {n} - 1) as bigint) as {a}" for a, n in zip("zyx", ("d", 8, 8), strict=True))
-    return f"with {_V}, {_DIM}, oz as (select unnest(range(cast(floor(d * {s!r}::double) as bigint))) as i from dim), o as (select oz.i as oz, oy.i as oy, ox.i as ox, {at} from dim, oz, range({int(8 * s)}) oy(i), range({int(8 * s)}) ox(i)) select oz as z, oy as y, ox as x, v from o join vol using (z, y, x)"
-
-
-def _scaled_whole(s: float):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return gather.scale_nearest(spark, _volume(spark, sf_dir), s, volumes.volume_shape(spark, sf_dir))
-
-    return run
-
-
-query("scale_nearest_up_whole", _scale_whole_sql(1.5))(_scaled_whole(1.5))
-query("scale_nearest_down_whole", _scale_whole_sql(0.5))(_scaled_whole(0.5))
-
-
-@query("affine_transpose_whole", f"with {_V} select x as z, y, z as x, v from vol")
-def affine_transpose_whole(spark, sf_dir):
     shape = volumes.volume_shape(spark, sf_dir)
     swap = [[0.0, 0.0, 1.0], [0.0, 1.0, 0.0], [1.0, 0.0, 0.0]]
     return gather.affine_nearest(spark, _volume(spark, sf_dir), swap, [0.0] * 3, shape, (8, 8, shape[0]))
 
 
-@query("affine_mirror_whole", f"with {_V}, {_DIM} select z, y, 7 - x as x, v from vol union all select d + k as z, y, x, 0 as v from dim, range(20) k(k), range(8) y(y), range(8) x(x)")
-def affine_mirror_whole(spark, sf_dir):
+@query("affine_mirror", f"with {_V}, {_DIM} select z, y, 7 - x as x, v from vol union all select d + k as z, y, x, 0 as v from dim, range(20) k(k), range(8) y(y), range(8) x(x)")
+def affine_mirror(spark, sf_dir):
     shape = volumes.volume_shape(spark, sf_dir)
     matrix = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, -1.0]]
     return gather.affine_nearest(spark, _volume(spark, sf_dir), matrix, [0.0, 0.0, 8.0], shape, (shape[0] + 20, 8, 8), cval=0.0)
 
 
-#: Planes from one seed to the next, and a bound on the distance from any voxel to its nearest seed.
+#: Planes from one seed to the next, and the cells in which seeds are looked for.
 _SEED_STEP, _SEED_CELL = 10, 14
 
 
-@query("voronoi_whole")
-def voronoi_whole(spark, sf_dir):
+@query(
+    "voronoi",
+    f"with {_V}, {_DIM}, seeds as (select cast(i // {_SEED_STEP} as bigint) as seed, i as sz, (i // {_SEED_STEP}) % 8 as sy, (i // {_SEED_STEP} // 2) % 8 as sx from (select unnest(range(0, d, {_SEED_STEP})) as i from dim)) "
+    "select z, y, x, arg_min(seed, ((z - sz) ** 2 + (y - sy) ** 2 + (x - sx) ** 2) * 100000 + seed) as seed from vol, seeds group by z, y, x",
+)
+def voronoi(spark, sf_dir):
     depth = volumes.volume_shape(spark, sf_dir)[0]
     seeds = spark.range(0, depth, _SEED_STEP).select(F.expr(f"id div {_SEED_STEP}").alias("seed"), F.col("id").alias("z")).select("seed", "z", F.expr("seed % 8").alias("y"), F.expr("seed div 2 % 8").alias("x"))
     return gather.nearest_seed(spark, _volume(spark, sf_dir).select(*AXES), seeds, cell=_SEED_CELL)
@@ -530,13 +493,14 @@ def transpose_axes(spark, sf_dir):
 
 @query(
     "triplanar_vote",
-    f"with {_V}, {_DIM}, p as (select z, y, x, v as a, -v + 0.01::double as b, v * v - 0.02::double as c from vol), s as (select stddev_pop(a) as sa, stddev_pop(b) as sb, stddev_pop(c) as sc from p) "
-    "select z, y, x, (a / sa * sin(pi() * z / (d - 1)) + b / sb * 0.5::double * sin(pi() * y / 7) + c / sc * sin(pi() * x / 7)) / (sin(pi() * z / (d - 1)) + 0.5::double * sin(pi() * y / 7) + sin(pi() * x / 7)) > 0 as seg from p, s, dim where z > 0 and z < d - 1",
+    f"with {_V}, {_DIM}, p as (select z, y, x, v as a, -v + 0.01::double as b, v * v - 0.02::double as c from vol), s as (select stddev_pop(a) as sa, stddev_pop(b) as sb, stddev_pop(c) as sc from p), "
+    "w as (select p.*, case when z in (0, d - 1) then 0 else sin(pi() * z / (d - 1)) end as wz, case when y in (0, 7) then 0 else 0.5::double * sin(pi() * y / 7) end as wy, case when x in (0, 7) then 0 else sin(pi() * x / 7) end as wx from p, dim) "
+    "select z, y, x, wz + wy + wx > 0 and (a / sa * wz + b / sb * wy + c / sc * wx) > 0 as seg from w, s",
 )
 def triplanar_vote(spark, sf_dir):
     v, depth = _volume(spark, sf_dir), volumes.volume_shape(spark, sf_dir)[0]
     parts = [v, v.withColumn("v", 0.01 - F.col("v")), v.withColumn("v", F.col("v") * F.col("v") - 0.02)]
-    return slices.vote(parts, [1.0, 0.5, 1.0], [("z", depth), ("y", 8), ("x", 8)]).where((F.col("z") > 0) & (F.col("z") < depth - 1))
+    return slices.vote(parts, [1.0, 0.5, 1.0], [("z", depth), ("y", 8), ("x", 8)])
 
 
 # evaluation, sets, keyed collections ----------------------------------------------------------------
@@ -559,9 +523,20 @@ def kde_grid(spark, sf_dir):
     return _rounded(evaluation.density_curve(read_table(spark, sf_dir, "events"), "value", 0.0, 200.0), "x", "density")
 
 
-@query("setdiff_rows", "select c_nationkey as k from customer except select s_nationkey from supplier")
+@query("setdiff_rows", "select c_nationkey as k, c_mktsegment as m from customer where c_acctbal > 0 except select c_nationkey, c_mktsegment from customer where c_acctbal > 6000")
 def setdiff_rows(spark, sf_dir):
-    return keyed.setdiff_rows(read_table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), read_table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")))
+    rows = read_table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("m"), "c_acctbal")
+    return keyed.setdiff_rows(rows.where("c_acctbal > 0").select("k", "m"), rows.where("c_acctbal > 6000").select("k", "m"))
+
+
+@query("unique_rows", "select c_nationkey as k, c_mktsegment as m, count(*) as n from customer group by all")
+def unique_rows(spark, sf_dir):
+    return keyed.unique_rows(read_table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("m")), "k", "m")
+
+
+@query("mask_xor", f"with {_V} select z, y, x from vol where (v > 0.1::double) <> (x > 3)")
+def mask_xor(spark, sf_dir):
+    return _volume(spark, sf_dir).where(voxel.xor(voxel.above(F.col("v"), 0.1), F.col("x") > 3)).select(*AXES)
 
 
 @query("unique_inverse", "select o_orderkey as id, o_custkey as v, dense_rank() over (order by o_custkey) - 1 as inverse from orders")
@@ -605,6 +580,179 @@ def trimmed_keys(spark, sf_dir):
     return keyed.trim_keys(entries, "vol_", ".npy")
 
 
+@query("key_helpers", f"with {_ENTRIES}, e as (select max(pos) as last from d) select 'at 1' as what, k as shown from d where pos = 1 union all select 'at -2', k from d, e where pos = last - 1 union all select 'popped', cast(v as varchar) from d where pos = 3 union all select 'default', '-1' union all select 'left', cast(count(*) - 1 as varchar) from d union all select 'cleared', '0' union all select 'first ' || cast(pos as varchar), k from d where pos < 3")
+def key_helpers(spark, sf_dir):
+    entries = _entries(spark, sf_dir)
+    name = keyed.key_at(entries, 3)
+    left, popped = keyed.pop(entries, name)
+    _, default = keyed.pop(left, name, -1)
+    rows = [("at 1", keyed.key_at(entries, 1)), ("at -2", keyed.key_at(entries, -2)), ("popped", str(popped)), ("default", str(default)), ("left", str(left.count())), ("cleared", str(keyed.clear(entries).count()))]
+    rows += [(f"first {r.pos}", r.k) for r in keyed.first_rows(keyed.ordered(entries), 3, "pos").collect()]
+    return spark.createDataFrame(rows, "what string, shown string")
+
+
+@query("reordered_keys", f"with {_ENTRIES} select cast(row_number() over (order by k desc) - 1 as bigint) as pos, k, v from d")
+def reordered_keys(spark, sf_dir):
+    entries = _entries(spark, sf_dir).withColumn("pos", F.col("pos").cast("long"))
+    return keyed.reorder(entries, sorted((r.k for r in entries.collect()), reverse=True))
+
+
+@query("trimmed_common_keys", "select r_regionkey as pos, r_name as k, length(r_name) as v from region")
+def trimmed_common_keys(spark, sf_dir):
+    entries = read_table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("pos"), F.concat(F.lit("vol_"), "r_name", F.lit("!.npy")).alias("k"), F.length("r_name").cast("long").alias("v"))
+    return keyed.trim_common(entries)
+
+
+@query("column_sets", "select r_regionkey + 1 as more, r_name from region")
+def column_sets(spark, sf_dir):
+    regions = read_table(spark, sf_dir, "region")
+    added = keyed.add_columns(regions, {"more": F.col("r_regionkey") + 1})
+    return keyed.drop_columns(keyed.keep_columns(added, ["more", "r_name", "r_regionkey"]), ["r_regionkey"])
+
+
+@query("path_names", "select page_id, url_encode(url) as encoded, regexp_extract(regexp_replace(split_part(url, '?', 1), '/+$', ''), '[^/]*$') as name from pages")
+def path_names(spark, sf_dir):
+    return read_table(spark, sf_dir, "pages").select("page_id", paths.encoded_column(F.col("url")).alias("encoded"), paths.file_name_column(F.col("url")).alias("name"))
+
+
+@query("subject_names", "with s as (select s_suppkey as id, s_name || case s_suppkey % 3 when 0 then 'oldBlaze' when 1 then 'Blaze' else '' end as subject_id, s_name from supplier) select id, subject_id, s_name as short_id, cast(case when id % 3 = 2 then 1 else 0 end as integer) as channel from s")
+def subject_names(spark, sf_dir):
+    ending = F.when(F.col("s_suppkey") % 3 == 0, "oldBlaze").when(F.col("s_suppkey") % 3 == 1, "Blaze").otherwise("")
+    table = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat("s_name", ending).alias("subject_id"))
+    return subjects(table).select("id", "subject_id", "short_id", "channel")
+
+
+# handles, storage and files -------------------------------------------------------------------------
+
+
+@query(
+    "volume_handle",
+    f"with {_V}, {_DIM} select 'ndim' as property, '3' as shown union all select 'numblocks', cast((d + 63) // 64 as varchar) || ',1,2' from dim union all select 'chunksize', least(64, d) || ',8,4' from dim union all select 'dtype', 'double' "
+    "union all select 'blocks', cast((d + 63) // 64 * 2 as varchar) from dim union all select 'slices', cast((d + 63) // 64 * 2 as varchar) from dim union all select 'is_numpy', 'False' union all select 'total', cast(round(sum(v), 6) as varchar) from vol",
+)
+def volume_handle(spark, sf_dir):
+    handle = BlockArray(_volume(spark, sf_dir), _grid(spark, sf_dir))
+    shown = handle.properties()
+    rows = [(k, chunks_to_text(v) if isinstance(v, tuple) else str(v)) for k, v in shown.items() if k != "repr_format"]
+    rows += [("blocks", str(len(handle.block_indices()))), ("slices", str(len(handle.slices_list())))]
+    total = handle.total().select(F.lit("total").alias("property"), F.round("total", 6).cast("string").alias("shown"))
+    return spark.createDataFrame(rows, "property string, shown string").unionByName(total)
+
+
+@query("block_arrays", "select a.i as z, b.i as y, c.i as x, cast((a.i * 6 + b.i) * 4 + c.i as double) as v from range(5) a(i), range(6) b(i), range(4) c(i)")
+def block_arrays(spark, sf_dir):
+    """Arrays by block to a volume, to a dense array, and back."""
+    grid = Grid((5, 6, 4), ((2, 3), 4, 4))
+    dense = volumes.coord_map(spark, grid.shape, lambda z, y, x: ((z * 6 + y) * 4 + x).cast("double"))
+    array = BlockArray(dense, grid).to_numpy()
+    parts = dict(zip(BlockArray(dense, grid).block_indices(), [loads_numpy(dumps_numpy(array[s])) for s in BlockArray(dense, grid).slices_list()]))
+    return BlockArray.from_blocks(spark, parts, grid).rechunked((5, 3, 2)).frame()
+
+
+@query("mapped_blocks", f"with {_V} select cast(z // 64 as integer) as bz, cast(y // 8 as integer) as \"by\", cast(x // 4 as integer) as bx, count(*) as n, round(sum(v), 9) as a, round(sum(2 * v), 9) as b, round(sum(v * v), 9) as c from vol group by all")
+def mapped_blocks(spark, sf_dir):
+    v, grid = _volume(spark, sf_dir), _grid(spark, sf_dir)
+
+    def sums(block, parts):
+        import pandas as pd
+
+        return pd.DataFrame({**{k: [b] for k, b in zip(grid.keys, block)}, "n": [len(parts[0])], **{name: [p["v"].sum()] for name, p in zip("abc", parts)}})
+
+    frames = [v, v.withColumn("v", 2 * F.col("v")), v.withColumn("v", F.col("v") * F.col("v"))]
+    return _rounded(map_all(frames, grid, sums, "bz int, `by` int, bx int, n long, a double, b double, c double"), "a", "b", "c")
+
+
+@query("pad_to_multiple", f"with {_V}, {_DIM}, o as (select unnest(range((d + 6) // 7 * 7)) as z from dim) select z, y.i as y, x.i as x, coalesce(v, 0) as v from o, range(14) y(i), range(14) x(i) left join vol on vol.z = o.z and vol.y = y.i and vol.x = x.i")
+def pad_multiple(spark, sf_dir):
+    return pad_to_multiple(BlockArray(_volume(spark, sf_dir), _grid(spark, sf_dir)), 7, spark).frame()
+
+
+query("block_reduce_median", _reduce_sql("median(v)", (4, 2, 2)))(_reduce(F.median, (4, 2, 2)))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/voxlake/{name}-{uuid.uuid4().hex}"
+
+
+@query("ome_zarr_levels", f"with {_V} select k as level, z, y // (1 << k) as y, x // (1 << k) as x, v from vol, (values (0), (1)) l(k) where y % (1 << k) = 0 and x % (1 << k) = 0")
+def ome_zarr_levels(spark, sf_dir):
+    """A volume written as OME-Zarr with Blosc chunks and read back, all levels."""
+    path = _folder(spark, "image")
+    ome.write_image(spark, path, _volume(spark, sf_dir), volumes.volume_shape(spark, sf_dir), (64, 4, 4), 1, dtype="<f8")
+    both = [ome.read_image(spark, path, k).withColumn("level", F.lit(k)) for k in (0, 1)]
+    return both[0].unionByName(both[1])
+
+
+@query("ome_zarr_slice", f"with {_V} select z - 70 as z, x // 2 as x, v from vol where z >= 70 and z < 100 and y = 3 and x % 2 = 0")
+def ome_zarr_slice(spark, sf_dir):
+    path = _folder(spark, "image")
+    ome.write_image(spark, path, _volume(spark, sf_dir), volumes.volume_shape(spark, sf_dir), (16, 4, 4), dtype="<f8", options={"compressor": {"id": "blosc", "cname": "zstd", "clevel": 3, "shuffle": 1}})
+    return ome.read_image(spark, f"{path}?slices=[70:100,3,::2]")
+
+
+@query("ome_zarr_labels", f"{_LABELS} select z, y, x, cast(lbl as double) as v from os where lbl <> 0")
+def ome_zarr_labels(spark, sf_dir):
+    path, (found, grid) = _folder(spark, "image"), _labels(spark, sf_dir)
+    ome.write_image(spark, path, _volume(spark, sf_dir), grid.shape, (64, 8, 8), dtype="<f4", labels=found, label_dtype="<i8")
+    return ome.read_image(spark, path, label="label", sparse=True)
+
+
+@query("stored_pyramid", f"with {_V} select z - 5 as z, y // 2 as y, x // 2 as x, v from vol where z >= 5 and z < 40 and y % 2 = 0 and x % 2 = 0")
+def stored_pyramid(spark, sf_dir):
+    path = _folder(spark, "pyramid")
+    pyramids.write_pyramid(spark, path, _volume(spark, sf_dir), volumes.volume_shape(spark, sf_dir), 1)
+    return pyramids.read_level(spark, f"{path}?slices=[5:40,:,:]", pyramids.highest_level(spark, path))
+
+
+@query("slice_files", f"with {_V} select z, y, x, cast(floor(least(greatest(v / 0.3::double, 0), 1) * 255) as integer) as v from vol")
+def slice_files(spark, sf_dir):
+    """Every plane as a PNG file, and the volume that the files give."""
+    folder = _folder(spark, "slices")
+    planes = _volume(spark, sf_dir).select(*AXES, voxel.to_uint8(F.col("v"), 0.3).alias("v"))
+    arrays.write_slices(planes, folder, volumes.PLANE).count()
+    return arrays.recover_volumes(spark, f"{folder}/*.png").select(*AXES, "v")
+
+
+@query("training_set", f"with {_V}, p as (select z, y, x, cast(floor(least(greatest(v / 0.3::double, 0), 1) * 255) as integer) as v, cast(v > 0 as integer) as lbl from vol) select z, y, x, v, lbl from p")
+def training_set(spark, sf_dir):
+    """Cases of a two-dimensional training set, written as files and read back."""
+    folder, v = _folder(spark, "dataset"), _volume(spark, sf_dir).withColumn("volume", F.lit("vol"))
+    images = v.withColumn("v", voxel.to_uint8(F.col("v"), 0.3))
+    arrays.write_training_set(spark, folder, images, v.withColumn("lbl", (F.col("v") > 0).cast("int")), volumes.PLANE)
+    read = [arrays.recover_volumes(spark, f"{folder}/{part}/*.png") for part in ("imagesTr", "labelsTr")]
+    number = F.regexp_extract("volume", r"(\d+)$", 1).cast("long")
+    pixels = read[0].select(number.alias("z"), "y", "x", "v")
+    return pixels.join(read[1].select(F.col("z"), "y", "x", F.col("v").alias("lbl")), ["z", "y", "x"])
+
+
+@query("cached_stage", f"with {_V} select z, sum(v > 0)::bigint as n from vol group by z")
+def cached_stage(spark, sf_dir):
+    """A stage that is computed once: the second call reads what the first committed."""
+    path = _folder(spark, "stage")
+    cached(spark, lambda: _volume(spark, sf_dir).groupBy("z").agg(F.count_if(F.col("v") > 0).alias("n")), path)
+    return cached(spark, _volume(spark, sf_dir).limit(0), path)
+
+
+#: The production flow on the volume reduced by two: artefacts masked, bias corrected, threshold, labels, objects, counts.
+_SMALL = f"{_IMAGE}, {_DIM}, small as (select z // 2 as z, y // 2 as y, x // 2 as x, max(im.v) as v from im, dim where z < d // 2 * 2 group by 1, 2, 3), field as (select z // 4 as z, y // 4 as y, x // 4 as x, sum(v)::double / count(*)::double / 1000.0::double as b from small group by all), fixed as (select s.z, s.y, s.x, floor(least(greatest(case when s.v > 1250 then 0 else s.v end::double / f.b, 0), 65535)) as v from small s join field f on s.z // 4 = f.z and s.y // 4 = f.y and s.x // 4 = f.x)"
+_FLOW_FG = "fg as (select (z * 4 + y) * 4 + x as id, z, y, x, z // 32 as bz, y // 4 as by_, x // 2 as bx from fixed where v > 1050)"
+_FLOW_CELLS = f"(case when edge then {_weight([('cz', 'd2'), ('cy', '4'), ('cx', '4')])} else 1 end) + (case when nvoxel > 2 then (nvoxel - 2) * 0.25::double else 0 end)"
+
+
+@query(
+    "production_flow",
+    f"with recursive {_SMALL}, {_FLOW_FG}, {_EDGES}, {_components('cc', 'e')}, os as (select z, y, x, lbl from cc join fg using (id)), "
+    "lc as (select lbl, avg(z) as cz, avg(y) as cy, avg(x) as cx, count(*) as nvoxel, bool_or(z = 0 or z = d // 2 - 1 or y = 0 or y = 3 or x = 0 or x = 3) as edge, any_value(d // 2) as d2 from os, dim group by lbl), "
+    f"t as (select floor(cz / 32) as bz, floor(cy / 4) as by_, floor(cx / 2) as bx, sum({_FLOW_CELLS}) as n, any_value(d2) as d2 from lc group by 1, 2, 3) "
+    "select cast(bz as integer) as bz, cast(by_ as integer) as \"by\", cast(bx as integer) as bx, bz * 32 + (least(bz * 32 + 32, d2) - bz * 32 + 1) / 2.0::double as cz, by_ * 4 + 2.5::double as cy, bx * 2 + 1.5::double as cx, round(n, 9) as ncells from t",
+)
+def production_flow(spark, sf_dir):
+    depth = volumes.volume_shape(spark, sf_dir)[0] // 2
+    how = flows.Production(counting=flows.Counting(threshold=1050.0))
+    found = flows.production(spark, _image(spark, sf_dir), Grid((depth, 4, 4), (32, 4, 2)), how, stages=_folder(spark, "run"))
+    return _rounded(found["totals"], "ncells")
+
+
 # neighbourhood kernels ------------------------------------------------------------------------------
 
 

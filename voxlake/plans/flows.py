@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.functions.voxel import above, bias_corrected, clipped, half_rounded
 from voxlake.operators.blocks import Grid, block_totals
 from voxlake.operators.labels import label
 from voxlake.operators.objects import count_by_size, objects_global
+from voxlake.operators.reduction import block_reduce
 from voxlake.sources.volumes import AXES
 from voxlake.storage import cached
 
@@ -68,5 +70,76 @@ def count_cells(spark: SparkSession, volume: DataFrame, grid: Grid, how: Countin
     return count_by_size(found, grid, how.min_size, how.size_threshold, how.volume_weight, how.params)
 
 
+@dataclass(frozen=True)
+class Production:
+    """Parameters of the whole run: reduction, highest value that is not artefact, bias boxes, and the counting."""
+
+    factor: tuple[int, int, int] = (2, 2, 2)
+    artefact: float = 1250.0
+    bias_boxes: tuple[int, int, int] = (4, 4, 4)
+    max_value: float = 1000.0
+    counting: Counting = Counting()
+
+
+def box_bias(image: DataFrame, boxes: tuple[int, int, int], max_value: float, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """A coarse bias field (b): mean of each box over max_value. A stand-in for estimators that are not this engine's."""
+    at = [F.expr(f"cast({a} div {n} as bigint)").alias(a) for a, n in zip(axes, boxes, strict=True)]
+    return image.groupBy(*at).agg((F.sum("v").cast("double") / F.count("*").cast("double") / F.lit(float(max_value))).alias("b"))
+
+
+def polynomial_bias(image: DataFrame, grid: Grid, degree: int = 2) -> DataFrame:
+    """image's least-squares polynomial in its coordinates (b), over its mean: a smooth bias field for each voxel.
+
+    The normal equations are one aggregate of fixed size, whatever the volume.
+    """
+    from itertools import product
+
+    import numpy as np
+
+    powers = [p for p in product(range(degree + 1), repeat=grid.ndim) if sum(p) <= degree]
+    unit = [F.col(a) / F.lit(float(max(1, n - 1))) for a, n in zip(grid.axes, grid.shape, strict=True)]
+
+    def term(p: tuple[int, ...]) -> Column:
+        out = F.lit(1.0)
+        for u, k in zip(unit, p, strict=True):
+            for _ in range(k):
+                out = out * u
+        return out
+
+    v = F.col("v").cast("double")
+    pairs = {tuple(a + b for a, b in zip(p, q, strict=True)) for p in powers for q in powers}
+    sums = image.agg(F.avg(v).alias("mean"), *[F.sum(term(p)).alias("m" + "_".join(map(str, p))) for p in sorted(pairs)], *[F.sum(term(p) * v).alias("r" + "_".join(map(str, p))) for p in powers]).first()
+    left = np.array([[sums["m" + "_".join(str(a + b) for a, b in zip(p, q, strict=True))] for q in powers] for p in powers])
+    weights = np.linalg.lstsq(left, np.array([sums["r" + "_".join(map(str, p))] for p in powers]), rcond=None)[0] / (sums["mean"] or 1.0)
+    field = F.lit(0.0)
+    for p, w in zip(powers, weights.tolist(), strict=True):
+        field = field + term(p) * w
+    return image.select(*grid.axes, field.alias("b"))
+
+
+def obtain_bias(spark: SparkSession, estimate: Callable[[], DataFrame], path: str | None = None) -> DataFrame:
+    """The bias field that estimate gives, kept at path and read from there ever after."""
+    return cached(spark, estimate, path) if path else estimate()
+
+
+def production(spark: SparkSession, image: DataFrame, grid: Grid, how: Production = Production(), bias: Callable[[DataFrame], DataFrame] | None = None, stages: str | None = None) -> dict[str, DataFrame]:
+    """The whole run: reduce, mask artefacts, correct the bias, threshold, label, measure, count.
+
+    grid is that of the reduced volume. With stages, a folder URI, the reduced and the corrected volume, the
+    mask and the objects are committed there, and a later run starts after the last of them.
+    """
+
+    def stage(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return cached(spark, make, f"{stages}/{name}") if stages else make()
+
+    whole = tuple(n * f for n, f in zip(grid.shape, how.factor, strict=True))
+    small = stage("reduced", lambda: block_reduce(image, how.factor, whole, "max"))
+    field = obtain_bias(spark, lambda: (bias or (lambda v: box_bias(v, how.bias_boxes, how.max_value)))(small), f"{stages}/bias" if stages else None)
+    clean = small.withColumn("v", F.when(F.col("v") > how.artefact, F.lit(0)).otherwise(F.col("v")))
+    corrected = stage("corrected", lambda: apply_bias(clean, field, how.bias_boxes))
+    objects = count_cells(spark, corrected, grid, how.counting, stages)
+    return {"reduced": small, "bias": field, "corrected": corrected, "cells": objects, "totals": block_totals(objects, grid)}
+
+
 def cells_per_block(spark: SparkSession, volume: DataFrame, grid: Grid, how: Counting = Counting(), stages: str | None = None) -> DataFrame:
     return block_totals(count_cells(spark, volume, grid, how, stages), grid)

@@ -1,30 +1,28 @@
-"""The subject table: thresholds by specimen, and the names that follow from an id."""
+"""The subject table: names and channel that follow from a specimen's id, beside its thresholds."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Subject id, threshold of a plaque, largest intensity.
-SUBJECTS = (
-    ("o22", 400.0, 1000.0),
-    ("o23", 400.0, 1000.0),
-    ("F1A1Te4Blaze", 3000.0, 7500.0),
-    ("F1A2Te3Blaze", 3000.0, 7500.0),
-    ("F4A1Te3Blaze", 3000.0, 7500.0),
-    ("F6A2Te3Blaze", 3000.0, 7500.0),
-    ("M1A1Te3Blaze", 3000.0, 7500.0),
-    ("M1A2Te3Blaze", 3000.0, 7500.0),
-    ("M3A2Te3Blaze", 3000.0, 7500.0),
-    ("M4A2Te3Blaze", 3000.0, 7500.0),
-    ("M7A1Te4Blaze", 3000.0, 7500.0),
-)
+#: Endings of ids that mark the first channel, the longest first.
 SUFFIXES = ("oldBlaze", "Blaze")
 
 
-def subjects(spark: SparkSession) -> DataFrame:
-    """subject_id, short_id, channel, plaque_threshold, max_threshold."""
-    rows = []
-    for name, low, high in SUBJECTS:
-        suffix = next((s for s in SUFFIXES if name.endswith(s)), "")
-        rows.append((name, name.removesuffix(suffix), 0 if suffix else 1, low, high))
-    return spark.createDataFrame(rows, "subject_id string, short_id string, channel int, plaque_threshold double, max_threshold double")
+def subjects(table: DataFrame, id_col: str = "subject_id", suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """table with short_id, the id without its ending, and channel: 0 for ids with one, else 1."""
+    subject = F.col(id_col)
+    short, channel = subject, F.lit(1)
+    for s in reversed(suffixes):
+        ends = F.endswith(subject, F.lit(s))
+        short = F.when(ends, subject.substr(F.lit(1), F.length(subject) - len(s))).otherwise(short)
+        channel = F.when(ends, 0).otherwise(channel)
+    return table.withColumns({"short_id": short, "channel": channel})
+
+
+def subject(table: DataFrame, subject_id: str, id_col: str = "subject_id") -> dict:
+    """One subject's row; KeyError if the table has none of that id."""
+    row = subjects(table, id_col).where(F.col(id_col) == subject_id).first()
+    if row is None:
+        raise KeyError(subject_id)
+    return row.asDict()

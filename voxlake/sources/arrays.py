@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import math
 import re
 import struct
 import zlib
@@ -15,7 +16,10 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+
+from voxlake.sources import codecs
+from voxlake.sources.paths import split_query
 
 AXES = ("t", "c", "z", "y", "x")
 
@@ -61,8 +65,8 @@ def array_metadata(store: _Folder | _Zip, level: str) -> dict:
         raise FileNotFoundError(f"no array at {level or 'the root'}")
     meta = json.loads(raw)
     codec = (meta.get("compressor") or {}).get("id")
-    if codec not in (None, "zlib", "gzip") or meta.get("filters"):
-        raise ValueError(f"chunks compressed with {codec} cannot be read")
+    if codec not in codecs.KNOWN or meta.get("filters"):
+        raise ValueError(f"chunks compressed with {codec} or filtered by {meta.get('filters')} cannot be read")
     return meta
 
 
@@ -72,10 +76,9 @@ def read_chunk(store: _Folder | _Zip, level: str, meta: dict, index: tuple[int,
     raw = store.read(f"{level}/{name}".lstrip("/"))
     if raw is None:
         return None
-    codec = (meta.get("compressor") or {}).get("id")
-    if codec:
-        raw = zlib.decompress(raw, 47)
-    return np.frombuffer(raw, np.dtype(meta["dtype"])).reshape(meta["chunks"], order=meta.get("order", "C"))
+    kind = np.dtype(meta["dtype"])
+    raw = codecs.decoded(raw, meta.get("compressor"), kind.itemsize * int(np.prod(meta["chunks"])))
+    return np.frombuffer(raw, kind).reshape(meta["chunks"], order=meta.get("order", "C"))
 
 
 class _ChunkPartition(InputPartition):
@@ -84,12 +87,21 @@ class _ChunkPartition(InputPartition):
 
 
 class _ZarrReader(DataSourceReader):
-    def __init__(self, path: str, level: str, axes: tuple[str, ...], sparse: bool, per_task: int) -> None:
+    def __init__(self, path: str, level: str, axes: tuple[str, ...], sparse: bool, per_task: int, indices: tuple | None = None) -> None:
         self.path, self.level, self.axes, self.sparse, self.per_task = path, level, axes, sparse, per_task
         self.meta = array_metadata(store_of(path), level)
+        #: The voxels wanted along each axis, as half-open ranges.
+        self.wanted = [(0, n) for n in self.meta["shape"]]
+        for k, index in enumerate(indices or ()):
+            n = self.meta["shape"][k]
+            at = (index % n, index % n + 1) if isinstance(index, int) else index.indices(n)[:2]
+            self._narrow(k, *at)
+
+    def _narrow(self, k: int, low: int, high: int) -> None:
+        self.wanted[k] = (max(self.wanted[k][0], low), min(self.wanted[k][1], high))
 
     def partitions(self) -> list[InputPartition]:
-        blocks = [range(-(-n // c)) for n, c in zip(self.meta["shape"], self.meta["chunks"], strict=True)]
+        blocks = [range(low // c, -(-high // c) if high > low else low // c) for (low, high), c in zip(self.wanted, self.meta["chunks"], strict=True)]
         every = list(product(*blocks))
         return [_ChunkPartition(every[i : i + self.per_task]) for i in range(0, len(every), self.per_task)] or [_ChunkPartition([])]
 
@@ -111,11 +123,29 @@ class _ZarrReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([*columns, pa.array(values)], names)
 
 
+class _PushedReader(_ZarrReader):
+    """For sessions that push filters into Python sources; others refuse a reader that could take them."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Comparisons of coordinates leave out chunks; all are returned, as the engine looks at each voxel again."""
+        for f in filters:
+            names = getattr(f, "attribute", ())
+            if len(names) == 1 and names[0] in self.axes and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                k, v = self.axes.index(names[0]), f.value
+                low = v + 1 if isinstance(f, GreaterThan) else v if isinstance(f, (EqualTo, GreaterThanOrEqual)) else 0
+                high = v if isinstance(f, LessThan) else v + 1 if isinstance(f, (EqualTo, LessThanOrEqual)) else self.meta["shape"][k]
+                self._narrow(k, math.floor(low), math.ceil(high))
+            yield f
+
+
 class ZarrSource(DataSource):
     """spark.read.format("zarr2").load(path): a row for each voxel of a Zarr version 2 array.
 
     Options: level (the array's name within the group), axes (such as czyx), sparse (only voxels that
-    differ from the fill value), chunksPerTask. Raw, zlib and gzip chunks can be read; each task reads its own.
+    differ from the fill value), slices (such as [0:64,:,3]: chunks outside are not read, voxels are not
+    filtered), chunksPerTask. Chunks are raw or compressed by Blosc (but for its own inner codec), zlib, gzip,
+    zstd or lz4; each task reads its own. With pushdown, where spark.sql.python.filterPushdown.enabled is set,
+    comparisons of coordinates leave out chunks too.
     """
 
     @classmethod
@@ -132,7 +162,9 @@ class ZarrSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         o = self.options
-        return _ZarrReader(o["path"], o.get("level", ""), self._axes(), o.get("sparse", "false").lower() == "true", int(o.get("chunksPerTask", "4")))
+        indices = split_query(f"?slices={o['slices']}")[1] if o.get("slices") else None
+        kind = _PushedReader if o.get("pushdown", "false").lower() == "true" else _ZarrReader
+        return kind(o["path"], o.get("level", ""), self._axes(), o.get("sparse", "false").lower() == "true", int(o.get("chunksPerTask", "4")), indices)
 
 
 def write_zarr(array: np.ndarray, path: str, chunks: tuple[int, ...], level: str = "", fill: float = 0) -> None:
@@ -247,6 +279,70 @@ def write_slices(volume: DataFrame, folder: str, shape: tuple[int, int], name: s
     return picked.groupBy("volume", axis).applyInPandas(write, "path string, pixels long")
 
 
+def write_training_set(spark: SparkSession, folder: str, images: DataFrame, labels: DataFrame, shape: tuple[int, int], channels: tuple[str, ...] = ("v",), name: str = "Dataset", classes: tuple[str, ...] = ("background", "foreground")) -> int:
+    """Slices of volumes (volume, z, y, x) as PNG for a two-dimensional segmentation model, with dataset.json.
+
+    Each channel of a case goes to imagesTr/<case>_<channel>.png and its labels (lbl) to labelsTr/<case>.png, where a
+    case is a volume and a slice number. Returns how many cases were written.
+    """
+    fs, root = open_store(folder)
+    for part in ("imagesTr", "labelsTr"):
+        fs.create_dir(f"{root}/{part}", recursive=True)
+    height, width = shape
+
+    def write(pdf):
+        import pandas as pd
+
+        store, top = open_store(folder)
+        case = f"{pdf['volume'].iloc[0]}_{int(pdf['z'].iloc[0]):04d}"
+        files = {f"imagesTr/{case}_{k:04d}.png": c for k, c in enumerate(channels)} | {f"labelsTr/{case}.png": "lbl"}
+        for file, column in files.items():
+            image = np.zeros((height, width), np.uint8)
+            image[pdf["y"], pdf["x"]] = pdf[column].to_numpy()
+            with store.open_output_stream(f"{top}/{file}", compression=None) as out:
+                out.write(encode_png(image))
+        return pd.DataFrame({"case": [case]})
+
+    keys = ["volume", "z", "y", "x"]
+    both = images.select(*keys, *channels).join(labels.select(*keys, "lbl"), keys, "left").withColumn("lbl", F.coalesce("lbl", F.lit(0)))
+    cases = both.groupBy("volume", "z").applyInPandas(write, "case string").count()
+    described = {"name": name, "channel_names": {str(k): c for k, c in enumerate(channels)}, "labels": {c: k for k, c in enumerate(classes)}, "numTraining": cases, "file_ending": ".png"}
+    with fs.open_output_stream(f"{root}/dataset.json", compression=None) as out:
+        out.write(json.dumps(described, indent=1).encode())
+    return cases
+
+
+def read_npz(spark: SparkSession, pattern: str, key: str, axes: tuple[str, ...] = ("z", "y", "x")) -> DataFrame:
+    """path, axes, v: the voxels of one array of each NumPy archive."""
+    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a = np.load(io.BytesIO(content), allow_pickle=False)[key].astype(np.float64)
+                if a.ndim != len(axes):
+                    raise ValueError(f"{path} has {a.ndim} dimensions, not {len(axes)}")
+                at = np.indices(a.shape).reshape(a.ndim, -1)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * a.size), *[pa.array(c) for c in at], pa.array(a.ravel())], ["path", *axes, "v"])
+
+    return files.mapInArrow(explode, "path string, " + ", ".join(f"{a} long" for a in axes) + ", v double")
+
+
+def copy_mask(source: str, targets: list[str]) -> None:
+    """A file copied to several places on any file systems; the source must exist, and no target may."""
+    fs, root = open_store(source)
+    if fs.get_file_info(root).type != pa.fs.FileType.File:
+        raise FileNotFoundError(source)
+    places = [open_store(t) for t in targets]
+    if taken := [t for t, (to, at) in zip(targets, places, strict=True) if to.get_file_info(at).type != pa.fs.FileType.NotFound]:
+        raise FileExistsError(", ".join(taken))
+    for to, at in places:
+        to.create_dir(at.rpartition("/")[0], recursive=True)
+        with fs.open_input_stream(root, compression=None) as raw, to.open_output_stream(at, compression=None) as out:
+            while piece := raw.read(1 << 20):
+                out.write(piece)
+
+
 def recover_volumes(spark: SparkSession, pattern: str) -> DataFrame:
     """volume, z, y, x, v (and v1, v2): the voxels of slice files named volume_slice.png, slices counted in order.
 

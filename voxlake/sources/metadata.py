@@ -70,47 +70,41 @@ def label_metadata(colors: dict[int, list[int]] | None = None, properties: dict[
     return {"image-label": image}
 
 
-def _names(values: list[str]) -> list[dict]:
-    if len(set(values)) != len(values):
-        raise ValueError(f"{values} repeat")
-    for v in values:
-        if not v.isalnum():
-            raise ValueError(f"{v} is not alphanumeric")
-    return [{"name": v} for v in values]
-
-
-def _well(well: str | dict, rows: list[str], columns: list[str]) -> dict:
-    if isinstance(well, str):
-        parts = well.split("/")
-        if len(parts) != 2 or parts[0] not in rows or parts[1] not in columns:
-            raise ValueError(f"{well} is not a row and a column of the plate")
-        return {"path": well, "rowIndex": rows.index(parts[0]), "columnIndex": columns.index(parts[1])}
-    if not isinstance(well, dict) or not isinstance(well.get("path"), str):
-        raise ValueError(f"{well} needs a path")
-    expected = _well(well["path"], rows, columns)
-    if any(well.get(k) != v for k, v in expected.items()):
-        raise ValueError(f"{well} does not agree with its path")
-    return well
+#: What the parts of plates and wells are made of: type of each field, and which of them must be there.
+FIELDS = {
+    "acquisition": ({"id": int, "name": str, "maximumfieldcount": int, "description": str, "starttime": int, "endtime": int}, {"id"}),
+    "well": ({"path": str, "rowIndex": int, "columnIndex": int}, {"path", "rowIndex", "columnIndex"}),
+    "image": ({"path": str, "acquisition": int}, {"path"}),
+}
+
+
+def checked_part(kind: str, part: object) -> dict:
+    """A part whose fields are there and of their types; fields that are not described may hold anything."""
+    types, needed = FIELDS[kind]
+    if not isinstance(part, dict) or needed - part.keys():
+        raise ValueError(f"{kind} {part} needs {', '.join(sorted(needed))}")
+    if wrong := [k for k, v in part.items() if k in types and not isinstance(v, types[k])]:
+        raise ValueError(f"{kind} {part}: {', '.join(wrong)} of the wrong type")
+    return part
+
+
+def _described(labels: list[str]) -> list[dict]:
+    if len(set(labels)) < len(labels) or not all(map(str.isalnum, labels)):
+        raise ValueError(f"{labels} must be alphanumeric and all different")
+    return [{"name": label} for label in labels]
 
 
 def plate_metadata(rows: list[str], columns: list[str], wells: list, acquisitions: list[dict] | None = None, fields: int | None = None, name: str | None = None) -> dict:
-    if not wells:
-        raise ValueError("no wells")
-    plate: dict = {"version": "0.4", "rows": _names(rows), "columns": _names(columns), "wells": [_well(w, rows, columns) for w in wells]}
-    for a in acquisitions or []:
-        if not isinstance(a, dict) or not isinstance(a.get("id"), int):
-            raise ValueError(f"acquisition {a} needs a whole number as id")
-    plate |= {k: v for k, v in (("acquisitions", acquisitions), ("field_count", fields), ("name", name)) if v is not None}
-    return {"plate": plate}
+    """A plate; wells are paths such as B/3, or dictionaries that must agree with the place of their path."""
+    plate: dict = {"version": "0.4", "rows": _described(rows), "columns": _described(columns)}
+    places = {f"{r}/{c}": {"path": f"{r}/{c}", "rowIndex": i, "columnIndex": j} for i, r in enumerate(rows) for j, c in enumerate(columns)}
+    given = [places.get(w, {}) if isinstance(w, str) else w for w in wells]
+    plate["wells"] = [checked_part("well", w) for w in given]
+    if not wells or any(places.get(w["path"]) != {k: w[k] for k in FIELDS["well"][1]} for w in plate["wells"]):
+        raise ValueError(f"wells {wells} are not places of the plate")
+    optional = {"acquisitions": [checked_part("acquisition", a) for a in acquisitions] if acquisitions is not None else None, "field_count": fields, "name": name}
+    return {"plate": plate | {k: v for k, v in optional.items() if v is not None}}
 
 
 def well_metadata(images: list) -> dict:
-    out = []
-    for image in images:
-        image = {"path": image} if isinstance(image, str) else image
-        if not isinstance(image, dict) or not isinstance(image.get("path"), str):
-            raise ValueError(f"{image} needs a path")
-        if not isinstance(image.get("acquisition", 0), int):
-            raise ValueError(f"{image}: acquisition must be a whole number")
-        out.append(image)
-    return {"well": {"version": "0.4", "images": out}}
+    return {"well": {"version": "0.4", "images": [checked_part("image", {"path": i} if isinstance(i, str) else i) for i in images]}}

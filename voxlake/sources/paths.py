@@ -37,6 +37,19 @@ def encoded(path: str) -> str:
     return quote(path, safe="")
 
 
+def encoded_column(path: Column) -> Column:
+    """The same for a column; the engine's form encoding differs in three characters."""
+    out = F.url_encode(path)
+    for plain, code in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(plain), F.lit(code))
+    return out
+
+
+def file_name_column(path: Column) -> Column:
+    base = F.regexp_replace(F.substring_index(path, "?", 1), "/+$", "")
+    return F.substring_index(base, "/", -1)
+
+
 def resolved(index: slice, length: int) -> tuple[int, int, int]:
     """Start, stop and step of a slice on an axis of that length; steps are positive."""
     start, stop, step = index.indices(length)

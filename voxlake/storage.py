@@ -17,12 +17,14 @@ MARKER = "_committed"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where a local session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not known.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every machine sees")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voxlake-"))
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
     return known.get()
@@ -35,6 +37,13 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, df: DataFrame) -> None:
+    """Removes the folder of a table that written() made and that nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/voxlake/" in folder:
+            Files(spark, folder).remove()
+
+
 class Files:
     """A folder by URI on any file system that Spark reads; files[name] is a folder below it."""
 
