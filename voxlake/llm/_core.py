@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voxlake.operators.graph import components
 from voxlake.storage import shared_dir, written
 
-__all__ = ["by_bytes", "components", "free_name", "labelled_sample", "shared_dir", "slices", "to_batch", "written"]
+__all__ = ["by_bytes", "components", "free_name", "join_frequent", "labelled_sample", "shared_dir", "slices", "to_batch", "written"]
 
 #: Bytes of text that a vectorised kernel takes at once.
 SLICE_BYTES = 1 << 21
@@ -40,6 +40,19 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def join_frequent(left: DataFrame, right: DataFrame, key: list[str], count: str, total: int, frequent: int = 1_000) -> DataFrame:
+    """The inner join on key, where right has each key once and count is how many rows of left have it.
+
+    Keys of over one in frequent of all rows are fewer than frequent, so they are joined by broadcast and no
+    task gets all rows of one; the others are joined by shuffle.
+    """
+    many = F.col(count) > total / frequent
+    new = [c for c in right.columns if c not in (*key, count)]
+    marked = left.join(F.broadcast(right.where(many).select(*key, F.struct(*new).alias("__own"))), key, "left")
+    rest = marked.where("__own is null").drop("__own").join(right.where(~many).drop(count), key)
+    return marked.where("__own is not null").select(*left.columns, "__own.*").unionByName(rest.select(*left.columns, *new))
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(start, stop) row ranges of at most limit bytes; a longer row stands alone."""
     n, sizes = len(texts), pc.fill_null(pc.binary_length(texts), 0).to_pylist()

@@ -13,7 +13,8 @@ so any size of benchmark gives the same result.
 Edge cases: a null text has no words; so has an empty one. Items without an id, or without words,
 never hit. Rows that repeat an item's id add to its windows; repeated items with another id hit
 together. Repeated document rows are scanned one by one, and with a benchmark of several blocks
-merged by id and text. Empty tables give empty results or no hits. Other columns are not looked at.
+merged by id and text. Removal and cutting go by row. Empty tables give empty results or no hits. Very long texts
+are scanned whole. Other columns are not looked at, whatever their names, and pass through decontaminate.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxlake.llm._core import by_bytes
+from voxlake.llm._core import by_bytes, free_name
 
 WINDOW = 8
 #: Characters of benchmark text that one broadcast holds at most.
@@ -166,11 +167,11 @@ def _merged(rows: DataFrame, blocks: list) -> DataFrame:
     return union.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), (F.count("*") / len(blocks)).cast("int").alias("copies"), merge(F.collect_list("ranges"), F.collect_list("items")).alias("m"))
 
 
-def _same_row(id_col: str, text_col: str, found: DataFrame):
-    """Whether a row has the id and the text of a row of found (__hit, __digest)."""
+def _same_row(id_col: str, text_col: str, hit: str):
+    """Whether a row has the id and the text that the struct column hit names (doc_id, digest)."""
     text = F.col(text_col).cast("string")
     raw = F.when(text.isNull(), F.lit(b"\0")).otherwise(F.concat(F.lit(b"\1"), text.cast("binary")))
-    return (F.unhex(F.sha2(raw, 256)) == found["__digest"]) & F.col(id_col).cast("long").eqNullSafe(found["__hit"])
+    return (F.unhex(F.sha2(raw, 256)) == F.col(f"{hit}.digest")) & F.col(id_col).cast("long").eqNullSafe(F.col(f"{hit}.doc_id"))
 
 
 def _clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, least_items: int, item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -178,8 +179,9 @@ def _clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
     blocks = _window_sets(spark, benchmark, item_id_col, item_text_col, window, block_chars)
     if len(blocks) > 1:
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        hit = _merged(rows, blocks).where(F.size("m.items") >= least_items).select(F.col("doc_id").alias("__hit"), F.col("digest").alias("__digest"))
-        return docs.join(hit, _same_row(id_col, text_col, hit), "left_anti")
+        mine = free_name("hit", docs.columns)
+        hit = _merged(rows, blocks).where(F.size("m.items") >= least_items).select(F.struct("doc_id", "digest").alias(mine))
+        return docs.join(hit, _same_row(id_col, text_col, mine), "left_anti")
     windows = blocks[0]
     at = docs.columns.index(text_col)
 
@@ -236,6 +238,7 @@ def _clean_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = _merged(rows, _window_sets(spark, benchmark, item_id_col, item_text_col, window, block_chars)).where(F.size("m.items") >= least_items)
     cut = F.udf(lambda t, r: t if t is None or r is None else without_words(t, list(zip(r[::2], r[1::2], strict=True))), "string")
-    spans = found.select(F.col("doc_id").alias("__hit"), F.col("digest").alias("__digest"), F.col("m.ranges").alias("__ranges"))
-    joined = docs.join(spans, _same_row(id_col, text_col, spans), "left")
-    return joined.withColumn(text_col, cut(F.col(text_col), F.col("__ranges"))).select(*docs.columns)
+    mine = free_name("hit", docs.columns)
+    spans = found.select(F.struct("doc_id", "digest", F.col("m.ranges").alias("ranges")).alias(mine))
+    joined = docs.join(spans, _same_row(id_col, text_col, mine), "left")
+    return joined.select(*[cut(F.col(text_col), F.col(f"{mine}.ranges")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

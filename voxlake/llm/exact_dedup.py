@@ -13,8 +13,10 @@ engine's own sorts: nothing else reads them, and a task that is run again makes
 
 Edge cases: a null text counts as the empty text, and empty texts are equal to each other. A null
 id is smaller than any other. Repeated rows count one by one in group_size; rows that repeat both
-id and text carry the same id, so all of them are marked as kept. An empty table gives an empty
-result. Other columns are not looked at.
+id and text carry the same id, so group_exact marks all of them as kept; deduplicate keeps one. An empty
+table gives an empty result. Other columns are not looked at, whatever their names, and pass through deduplicate.
+Of a text that a third of all rows hold, each map task sends one record, and the join that names its group
+is between narrow rows, with the common groups sent by broadcast.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm._core import by_bytes
+from voxlake.llm._core import by_bytes, free_name, written
 
 #: Bytes of content that the table of one task holds.
 TABLE_BYTES = 64 << 20
@@ -166,11 +168,25 @@ def group_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
-    """The rows of docs, of equal texts only those with the largest id; all columns stay.
+    """docs with one row of those with equal texts, that with the largest id; all columns stay.
 
-    Rows go by id and digest, as rows that share an id, or have none, need not share a text.
+    Rows go by id and digest, as rows that share an id, or have none, need not share a text. Where several rows
+    share the largest id and the text, the one whose columns have the least hash stays.
     """
-    gone = group_exact(docs, id_col, text_col, **limits).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest")).distinct()
+    spark = docs.sparkSession
+    mine = free_name("own", docs.columns)
+    groups = written(spark, group_exact(docs, id_col, text_col, **limits).select("doc_id", "digest", "kept"), "groups")
     lower = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
-    same = F.unhex(F.sha2(lower.cast("binary"), 256)) == gone["__digest"]
-    return docs.join(gone, same & F.col(id_col).cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+
+    def met(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        right = keys.select(F.struct("doc_id", "digest").alias(mine))
+        same = (F.unhex(F.sha2(lower.cast("binary"), 256)) == F.col(f"{mine}.digest")) & F.col(id_col).cast("long").eqNullSafe(F.col(f"{mine}.doc_id"))
+        return rows.join(right, same, how)
+
+    kept = met(docs, groups.where("not kept").select("doc_id", "digest").distinct(), "left_anti")
+    repeated = groups.where("kept").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return kept
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    several = met(kept, repeated, "inner").groupBy(mine).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+    return met(kept, repeated, "left_anti").unionByName(several.select("row.*"))

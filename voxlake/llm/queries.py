@@ -76,6 +76,20 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.link_components(spark, read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+OP5_SQL = f"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (
+  select distinct doc_id, hash(array_to_string(w[i : i + 4], ' ')) as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b using (g) where a.doc_id <> b.doc_id group by all),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+reached(id, l) as (select doc_id, doc_id from documents union select b, l from reached join links on a = id where l < b)
+select id as doc_id, coalesce(any_value(n), 0) as n_shingles, min(l) as component_id from reached left join sizes on doc_id = id group by id
+"""
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, read_table(spark, sf_dir, "documents"), default_tokenizer(), added_tokens=True)
 
@@ -111,6 +125,17 @@ def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Base 32 of the digest: each five hexadecimal digits are four letters.
+OP9_SQL = """
+with p as (select page_id, coalesce(html, '') as t from pages),
+d as (select page_id, strlen(t) as payload_bytes, sha1(t) as h, max(page_id) over (partition by t) as top from p)
+select page_id, payload_bytes::bigint as payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(h, i // 4 * 5 + 1, 5) as integer) >> (15 - i % 4 * 5)::integer) & 31), 1) for i in range(32)], '') as payload_digest,
+  case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id <> top then top end as refers_to
+from d
+"""
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -164,6 +189,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_fsm_chat_format": OP3_SQL,
+    "op5_ngram_jaccard_join": OP5_SQL,
     "op7_grace_exact_dedup": OP7_SQL,
+    "op9_arc_to_warc": OP9_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
 }

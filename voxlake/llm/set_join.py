@@ -15,22 +15,29 @@ How it stays exact without comparing all pairs:
    n - ceil(0.75 n) + 1 hashes. Hashes of one set come first, so a document that has that many of
    its own is done: it links with nothing. Frequent hashes, such as those of a passage that many
    documents quote, come last and stay out of the prefixes.
-4. Sets that share a prefix hash are joined to candidate components; a component's sets meet in one
-   task. Components over block_bytes are cut into blocks, and every pair of blocks meets in a task.
+4. The smallest set that has a prefix hash leads it, and a set goes to the leads of its prefix hashes, so
+   sets that share one meet in a task. Near copies share their leads, so a set has few. Where the sets of a
+   lead are over block_bytes, they are dealt to several tasks and compared with the lead alone, which links
+   most of a group of near copies; two that link with the lead need no look at each other. The sets that do
+   not are compared among themselves, and those within twice the linking distance of the lead with the
+   sets that link with it, in blocks. No other sets of the group can link.
 5. Within a task, lists of the index over prefixes are kept in blocks by position, and a block whose
    positions leave too few hashes for the required overlap is skipped at once. A set that is highly
    similar to an earlier one, its pivot, gets its answers from the pivot's: it is only compared with
    pivots, and since Jaccard distance is a metric, a set further from the pivot than the threshold
    plus the distance between the two cannot link. Pairs that the bound leaves open, of clusters not
    yet connected, are verified by their intersections.
+6. The connected components of the links, found on distributed tables, are the result.
 
 Set sizes count 64-bit hashes. Overlaps compare 32 bits within a bucket, that is 32 bits plus the
 logarithm of the number of buckets.
 
 Edge cases: a document without words or with a null text has the empty set and links with nothing,
 nor with another empty one. doc_id is taken as the key: rows that repeat an id come out once each,
-and their sets are joined where texts differ; rows without an id are left out. Very long texts are one set each. An empty table
-gives an empty result. Other columns are not looked at.
+and their sets are joined where texts differ. A row without an id comes out with its n_shingles and without
+a class or a component, and keep_one keeps it. Rows that repeat an id stay or go together in keep_one. Very long
+texts are one set each. An empty table gives an empty result. Other columns are not looked at, whatever their names,
+and pass through keep_one.
 """
 
 from __future__ import annotations
@@ -45,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm._core import components, shared_dir, slices, to_batch, written
+from voxlake.llm._core import components, join_frequent, shared_dir, slices, to_batch, written
 from voxlake.llm._text import STEP, U64, buffers, mixed, word_hashes
 
 SHINGLE = 5
@@ -53,8 +60,10 @@ SHINGLE = 5
 PART, WHOLE = 75, 100
 #: A set within this distance of a pivot, or the distance that links where that is less, joins its cluster.
 NEAR = 0.25
-#: Bytes of hashes that the sets of one task's candidate component hold; larger ones go in blocks.
-BLOCK_BYTES = 24 << 20
+#: Bytes of hashes that the sets of one lead hold; the sets of larger ones go in blocks of as much.
+BLOCK_BYTES = 1 << 20
+#: Bytes of hashes that one bucket holds on average at most, and what a hash takes there.
+BUCKET_BYTES, HASH_BYTES = 64 << 20, 16
 #: Set digests that a map task remembers.
 REMEMBERED = 400_000
 
@@ -91,7 +100,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """For each slice: ids, document of each hash, hashes, set sizes, two digests of each set."""
     for batch in batches:
         for a, b in slices(batch.column(1)):
-            ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).slice(a, b - a)
             d, h = shingles(*buffers(batch.column(1).slice(a, b - a)))
             sizes = np.bincount(d, minlength=len(ids))
             one, two = np.zeros(len(ids), U64), np.zeros(len(ids), U64)
@@ -134,7 +143,8 @@ def _to_buckets(labels: list[int]):
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for ids, d, h, sizes, one, two in _sets(batches):
+        for held, d, h, sizes, one, two in _sets(batches):
+            ids = held.to_numpy(zero_copy_only=False)
             new = np.zeros(len(ids), bool)
             for i, key in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
                 if sizes[i] and key not in seen:
@@ -419,16 +429,89 @@ def join_sets(sets: list[np.ndarray], sizes: list[int], part: int = PART, whole:
 _ROOTS = pa.schema([("node", pa.int64()), ("root", pa.int64())])
 
 
-def _joined(part: int, whole: int):
+def _joined(part: int, whole: int, keys: int):
+    """Rows (keys, node, n, hashes) in order of their keys: each set of a group with the smallest it is linked with."""
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in groupby(_rows(batches), key=lambda r: r[:3]):
-            group = sorted(rows, key=lambda r: r[3])
-            roots = join_sets([np.frombuffer(r[5], "<i8") for r in group], [r[4] for r in group], part, whole)
-            yield to_batch([(r[3], group[k][3]) for r, k in zip(group, roots, strict=True)], _ROOTS)
+        for _, rows in groupby(_rows(batches), key=lambda r: r[:keys]):
+            group = sorted((r[keys:] for r in rows), key=lambda r: r[0])
+            if len(group) > 1:
+                roots = join_sets([np.frombuffer(r[2], "<i8") for r in group], [r[1] for r in group], part, whole)
+                yield to_batch([(r[0], group[k][0]) for r, k in zip(group, roots, strict=True)], _ROOTS)
 
     return join
 
 
+_STARS = pa.schema([("lead", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("linked", pa.bool_()), ("open", pa.bool_())])
+_STARS_DDL = "lead long, node long, size long, linked boolean, open boolean"
+
+
+def _starred(part: int, whole: int):
+    """Rows (lead, block, own, node, n, hashes), the lead's own first in each block: how near each set is to its lead."""
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, out, n_lead, hashes, far = None, [], 0, np.zeros(0, np.int64), 1 - part / whole
+        for row in _rows(batches):
+            if row[2]:
+                lead, n_lead, hashes = row[0], row[4], np.sort(np.frombuffer(row[5], "<i8"))
+                continue
+            common = len(np.intersect1d(hashes, np.frombuffer(row[5], "<i8"), assume_unique=True))
+            union = n_lead + row[4] - common
+            linked = whole * common >= part * union
+            out.append((lead, row[3], len(row[5]), linked, not linked and 1 - common / union <= 2 * far + 1e-9))
+            if len(out) >= 20_000:
+                yield to_batch(out, _STARS)
+                out = []
+        if out:
+            yield to_batch(out, _STARS)
+
+    return star
+
+
+def _blocks(column: str, block_bytes: int):
+    """In how many blocks the sets go whose bytes the column sums."""
+    return F.greatest(F.lit(1), F.ceil(F.coalesce(F.col(column), F.lit(0)) / F.lit(block_bytes))).cast("int")
+
+
+def _links(spark: SparkSession, nodes: DataFrame, part: int, whole: int, block_bytes: int) -> DataFrame:
+    """Links (a, b) between sets, enough to connect all that link; nodes has node, n, prefix, hashes."""
+    entries = nodes.select("node", F.explode("prefix").alias("hash"))
+    leads = entries.groupBy("hash").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("hash", "lead")
+    # where sets go is settled on narrow rows; the hashes then move once for each lead
+    places = entries.join(leads, "hash").select("lead", "node").distinct().join(nodes.select("node", F.length("hashes").alias("size")), "node")
+    places = written(spark, places.select("lead", "node", "size"), "places")
+    big = places.groupBy("lead").agg(F.sum("size").alias("size")).where(F.col("size") > block_bytes).select("lead", _blocks("size", block_bytes).alias("blocks"))
+    big = written(spark, big, "leads")
+    sets = nodes.select("node", "n", "hashes")
+
+    def compared(dealt: DataFrame, *keys: str) -> DataFrame:
+        held = dealt.join(sets, "node").select(*keys, "node", "n", "hashes").repartition(*keys).sortWithinPartitions(*keys)
+        return held.mapInArrow(_joined(part, whole, len(keys)), "node long, root long").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+    links = compared(places.join(big, "lead", "left_anti").select("lead", "node"), "lead")
+    if big.isEmpty():
+        return links
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    own = big.select("lead", F.col("lead").alias("node"), every.alias("block"), F.lit(True).alias("own"))
+    others = places.join(big, "lead").where("node <> lead").select("lead", "node", F.pmod(F.hash("node"), "blocks").alias("block"), F.lit(False).alias("own"))
+    dealt = own.unionByName(others).join(sets, "node").select("lead", "block", "own", "node", "n", "hashes")
+    stars = dealt.repartition("lead", "block").sortWithinPartitions("lead", "block", F.desc("own")).mapInArrow(_starred(part, whole), _STARS_DDL)
+    stars = written(spark, stars, "stars")
+    links = links.unionByName(stars.where("linked").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+
+    loads = stars.groupBy("lead").agg(F.sum(F.when(~F.col("linked"), F.col("size"))).alias("rest"), F.sum(F.when(F.col("linked"), F.col("size"))).alias("near"), F.max("open").alias("any"))
+    loads = loads.where("rest is not null").select("lead", "any", _blocks("rest", block_bytes).alias("r"), _blocks("near", block_bytes).alias("m"))
+    held = stars.join(loads, "lead")
+    mine = F.pmod(F.hash("node"), F.when(F.col("linked"), F.col("m")).otherwise(F.col("r")))
+    among = held.where("not linked").select("lead", "node", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("other"))
+    among = among.select("lead", F.lit(0).alias("kind"), F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "node")
+    across = held.where("any and (linked or open)")
+    over = F.explode(F.sequence(F.lit(0), F.when(F.col("linked"), F.col("r")).otherwise(F.col("m")) - 1)).alias("other")
+    across = across.select("lead", "node", "linked", mine.alias("mine"), over)
+    across = across.select("lead", F.lit(1).alias("kind"), F.when(F.col("linked"), F.col("mine")).otherwise(F.col("other")).alias("low"), F.when(F.col("linked"), F.col("other")).otherwise(F.col("mine")).alias("high"), "node")
+    return links.unionByName(compared(among.unionByName(across), "lead", "kind", "low", "high"))
+
+
 def _labels(spark: SparkSession, n: int) -> list[int]:
     """A label for each of n shuffle partitions that hash partitioning sends there, and nowhere else."""
     dealt = spark.range(0, 40 * n, 1, 1).select(F.col("id").cast("int").alias("label")).select("label", F.pmod(F.hash("label"), F.lit(n)).alias("p"))
@@ -438,51 +521,35 @@ def _labels(spark: SparkSession, n: int) -> list[int]:
 def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, whole: int = WHOLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, class_id (smallest id with an equal set), component_id."""
     shared_dir(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    labels = _labels(spark, partitions)
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = every.where("doc_id is not null")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, _, sizes, one, two in _sets(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "n", "one", "two"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "n", "one", "two"])
 
-    known = written(spark, rows.mapInArrow(digest, "doc_id long, n long, one long, two long"), "sets")
+    sets = written(spark, every.mapInArrow(digest, "doc_id long, n long, one long, two long"), "sets")
+    total, hashes = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     key = ["n", "one", "two"]
-    firsts = known.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"))
-    known = written(spark, known.join(firsts, key, "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
+    full = sets.where("n > 0 and doc_id is not null")
+    classes = written(spark, full.groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows")), "classes")
 
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-hashes * HASH_BYTES // BUCKET_BYTES))
+    labels = _labels(spark, buckets)
     blocks = rows.mapInArrow(_to_buckets(labels), _BLOCKS_DDL)
-    shared = blocks.repartition(partitions, "label").sortWithinPartitions("label").mapInArrow(_shared_hashes(labels), _BLOCKS_DDL)
-    nodes = shared.repartition(partitions, "label").sortWithinPartitions("label").mapInArrow(_candidates(part, whole), _NODES_DDL)
+    shared = blocks.repartition(buckets, "label").sortWithinPartitions("label").mapInArrow(_shared_hashes(labels), _BLOCKS_DDL)
+    nodes = shared.repartition(buckets, "label").sortWithinPartitions("label").mapInArrow(_candidates(part, whole), _NODES_DDL)
     nodes = written(spark, nodes, "nodes")
 
-    entries = nodes.select("node", F.explode("prefix").alias("hash"))
-    leads = entries.groupBy("hash").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
-    edges = entries.join(leads, "hash").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    near = components(spark, edges)
-
-    parts = nodes.select("node", "n", F.length("hashes").alias("size")).join(near, "node").select("node", "comp", "size")
-    counts = parts.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / F.lit(block_bytes))).cast("int").alias("blocks"))
-    counts = written(spark, counts, "blocks")
-    # where each set goes is settled on narrow rows; the hashes then move by node once and by task once
-    places = near.join(counts, "comp").withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
-    dealt = (
-        nodes.select("node", "n", "hashes")
-        .join(places, "node")
-        .select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own", "node", "n", "hashes")
-        .select("comp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "n", "hashes")
-    )
-    dealt = dealt.repartition("comp", "low", "high").sortWithinPartitions("comp", "low", "high")
-    roots = written(spark, dealt.mapInArrow(_joined(part, whole), "node long, root long"), "roots")
-    if not counts.where("blocks > 1").isEmpty():
-        found = components(spark, roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = found.select("node", F.col("comp").alias("root"))
-
+    linked = components(spark, _links(spark, nodes, part, whole, block_bytes))
     # copies across map tasks are nodes of their own; by class they come together
-    of_class = roots.join(known.select(F.col("doc_id").alias("node"), "class_id"), "node").select("class_id", "root").distinct()
-    lows = of_class.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    named = of_class.join(lows, "root").groupBy("class_id").agg(F.min("component_id").alias("component_id"))
-    return known.join(named, "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    of_class = linked.join(full.withColumnRenamed("doc_id", "node"), "node").join(classes, key).select("class_id", "comp").distinct()
+    lows = of_class.groupBy("comp").agg(F.min("class_id").alias("component_id"))
+    named = of_class.join(lows, "comp").groupBy("class_id").agg(F.min("component_id").alias("component_id"))
+    settled = classes.join(named, "class_id", "left").select(*key, "rows", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    found = join_frequent(full, settled, key, "rows", total).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
+    alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
