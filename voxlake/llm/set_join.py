@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm._core import components, join_frequent, shared_dir, slices, to_batch, written
+from voxlake.llm._core import by_bytes, components, join_frequent, shared_dir, slices, to_batch, written
 from voxlake.llm._text import STEP, U64, buffers, mixed, word_hashes
 
 SHINGLE = 5
@@ -62,6 +62,8 @@ PART, WHOLE = 75, 100
 NEAR = 0.25
 #: Bytes of hashes that the sets of one lead hold; the sets of larger ones go in blocks of as much.
 BLOCK_BYTES = 1 << 20
+#: Narrow rows (under 50 bytes each) that are joined by broadcast.
+FEW_ROWS = 400_000
 #: Bytes of hashes that one bucket holds on average at most, and what a hash takes there.
 BUCKET_BYTES, HASH_BYTES = 64 << 20, 16
 #: Set digests that a map task remembers.
@@ -442,30 +444,42 @@ def _joined(part: int, whole: int, keys: int):
     return join
 
 
-_STARS = pa.schema([("lead", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("linked", pa.bool_()), ("open", pa.bool_())])
-_STARS_DDL = "lead long, node long, size long, linked boolean, open boolean"
+_MET = pa.schema([("lead", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("linked", pa.bool_()), ("open", pa.bool_())])
+_MET_DDL = "lead long, node long, size long, linked boolean, open boolean"
 
 
-def _starred(part: int, whole: int):
-    """Rows (lead, block, own, node, n, hashes), the lead's own first in each block: how near each set is to its lead."""
+def _met(part: int, whole: int):
+    """Rows (lead, block, own, star, node, n, hashes), by lead and block, the lead's own first in a block of a large lead.
 
-    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, out, n_lead, hashes, far = None, [], 0, np.zeros(0, np.int64), 1 - part / whole
-        for row in _rows(batches):
-            if row[2]:
-                lead, n_lead, hashes = row[0], row[4], np.sort(np.frombuffer(row[5], "<i8"))
-                continue
-            common = len(np.intersect1d(hashes, np.frombuffer(row[5], "<i8"), assume_unique=True))
-            union = n_lead + row[4] - common
+    Gives links within the groups of small leads (the smallest set linked with stands as lead), and for each
+    set of a large one how near it is to its lead (size is set there alone).
+    """
+    far = 1 - part / whole
+
+    def stars(rows: Iterator[tuple]) -> Iterator[tuple]:
+        lead, *_, n_lead, raw = next(rows)
+        hashes = np.sort(np.frombuffer(raw, "<i8"))
+        for *_, node, n, raw in rows:
+            common = len(np.intersect1d(hashes, np.frombuffer(raw, "<i8"), assume_unique=True))
+            union = n_lead + n - common
             linked = whole * common >= part * union
-            out.append((lead, row[3], len(row[5]), linked, not linked and 1 - common / union <= 2 * far + 1e-9))
-            if len(out) >= 20_000:
-                yield to_batch(out, _STARS)
-                out = []
-        if out:
-            yield to_batch(out, _STARS)
+            yield lead, node, len(raw), linked, not linked and 1 - common / union <= 2 * far + 1e-9
+
+    def group(rows: Iterator[tuple]) -> Iterator[tuple]:
+        own = sorted((r[4:] for r in rows), key=lambda r: r[0])
+        roots = join_sets([np.frombuffer(r[2], "<i8") for r in own], [r[1] for r in own], part, whole)
+        for r, k in zip(own, roots, strict=True):
+            if r[0] != own[k][0]:
+                yield own[k][0], r[0], None, True, False
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for (_, _, star), rows in groupby(_rows(batches), key=lambda r: (r[0], r[1], r[3])):
+                yield from (stars if star else group)(rows)
+
+        yield from by_bytes(found(), _MET, lambda r: 40)
 
-    return star
+    return meet
 
 
 def _blocks(column: str, block_bytes: int):
@@ -475,32 +489,29 @@ def _blocks(column: str, block_bytes: int):
 
 def _links(spark: SparkSession, nodes: DataFrame, part: int, whole: int, block_bytes: int) -> DataFrame:
     """Links (a, b) between sets, enough to connect all that link; nodes has node, n, prefix, hashes."""
-    entries = nodes.select("node", F.explode("prefix").alias("hash"))
+    entries = nodes.select("node", F.length("hashes").alias("size"), F.explode("prefix").alias("hash"))
     leads = entries.groupBy("hash").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("hash", "lead")
     # where sets go is settled on narrow rows; the hashes then move once for each lead
-    places = entries.join(leads, "hash").select("lead", "node").distinct().join(nodes.select("node", F.length("hashes").alias("size")), "node")
-    places = written(spark, places.select("lead", "node", "size"), "places")
+    places = written(spark, entries.join(leads, "hash").select("lead", "node", "size").distinct(), "places")
     big = places.groupBy("lead").agg(F.sum("size").alias("size")).where(F.col("size") > block_bytes).select("lead", _blocks("size", block_bytes).alias("blocks"))
     big = written(spark, big, "leads")
     sets = nodes.select("node", "n", "hashes")
-
-    def compared(dealt: DataFrame, *keys: str) -> DataFrame:
-        held = dealt.join(sets, "node").select(*keys, "node", "n", "hashes").repartition(*keys).sortWithinPartitions(*keys)
-        return held.mapInArrow(_joined(part, whole, len(keys)), "node long, root long").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-
-    links = compared(places.join(big, "lead", "left_anti").select("lead", "node"), "lead")
-    if big.isEmpty():
-        return links
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    own = big.select("lead", F.col("lead").alias("node"), every.alias("block"), F.lit(True).alias("own"))
-    others = places.join(big, "lead").where("node <> lead").select("lead", "node", F.pmod(F.hash("node"), "blocks").alias("block"), F.lit(False).alias("own"))
-    dealt = own.unionByName(others).join(sets, "node").select("lead", "block", "own", "node", "n", "hashes")
-    stars = dealt.repartition("lead", "block").sortWithinPartitions("lead", "block", F.desc("own")).mapInArrow(_starred(part, whole), _STARS_DDL)
-    stars = written(spark, stars, "stars")
-    links = links.unionByName(stars.where("linked").select(F.col("node").alias("a"), F.col("lead").alias("b")))
-
+    star = F.col("blocks").isNotNull()
+    others = places.join(big, "lead", "left").where(~star | (F.col("node") != F.col("lead")))
+    others = others.select("lead", F.when(star, F.pmod(F.hash("node"), "blocks")).otherwise(0).alias("block"), F.lit(False).alias("own"), star.alias("star"), "node")
+    own = big.select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("own"), F.lit(True).alias("star"), F.col("lead").alias("node"))
+    rows = places.count() + own.count()
+    dealt = sets.join(_small(others.unionByName(own), rows), "node").select("lead", "block", "own", "star", "node", "n", "hashes")
+    met = dealt.repartition("lead", "block").sortWithinPartitions("lead", "block", F.desc("own")).mapInArrow(_met(part, whole), _MET_DDL)
+    met = written(spark, met, "met")
+    links = met.where("linked").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+
+    stars = met.where("size is not null")
     loads = stars.groupBy("lead").agg(F.sum(F.when(~F.col("linked"), F.col("size"))).alias("rest"), F.sum(F.when(F.col("linked"), F.col("size"))).alias("near"), F.max("open").alias("any"))
     loads = loads.where("rest is not null").select("lead", "any", _blocks("rest", block_bytes).alias("r"), _blocks("near", block_bytes).alias("m"))
+    loads = written(spark, loads, "loads")
+    if loads.isEmpty():
+        return links
     held = stars.join(loads, "lead")
     mine = F.pmod(F.hash("node"), F.when(F.col("linked"), F.col("m")).otherwise(F.col("r")))
     among = held.where("not linked").select("lead", "node", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("other"))
@@ -509,7 +520,16 @@ def _links(spark: SparkSession, nodes: DataFrame, part: int, whole: int, block_b
     over = F.explode(F.sequence(F.lit(0), F.when(F.col("linked"), F.col("r")).otherwise(F.col("m")) - 1)).alias("other")
     across = across.select("lead", "node", "linked", mine.alias("mine"), over)
     across = across.select("lead", F.lit(1).alias("kind"), F.when(F.col("linked"), F.col("mine")).otherwise(F.col("other")).alias("low"), F.when(F.col("linked"), F.col("other")).otherwise(F.col("mine")).alias("high"), "node")
-    return links.unionByName(compared(among.unionByName(across), "lead", "kind", "low", "high"))
+    keys = ["lead", "kind", "low", "high"]
+    again = written(spark, among.unionByName(across).select(*keys, "node"), "tasks")
+    pairs = sets.join(_small(again, again.count()), "node").select(*keys, "node", "n", "hashes").repartition(*keys).sortWithinPartitions(*keys)
+    pairs = pairs.mapInArrow(_joined(part, whole, len(keys)), "node long, root long").where("node <> root")
+    return links.unionByName(pairs.select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    """Narrow rows, marked for broadcast where they are few; the join is by shuffle where they are more."""
+    return F.broadcast(rows) if n <= FEW_ROWS else rows
 
 
 def _labels(spark: SparkSession, n: int) -> list[int]:
