@@ -30,10 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return known.get()
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and survives lost executors."""
+def written(spark: SparkSession, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: cuts lineage and survives lost executors. codec compresses it, if named."""
     path = f"{shared_dir(spark).rstrip('/')}/voxlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
