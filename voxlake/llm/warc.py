@@ -252,7 +252,7 @@ def parse_arc(archives: DataFrame) -> DataFrame:
 
 def convert_archives(spark: SparkSession, archives: DataFrame, folder: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> int:
     """Writes the records of ARC files (content) as WARC files into folder; returns how many records."""
-    records = written(spark, parse_arc(archives), "records")
+    records = written(spark, parse_arc(archives), "records", "zstd")
     originals = records.where(F.col("size") >= least_bytes).groupBy("sha256", "size").agg(F.max(F.struct("key", "id", "url", "date")).alias("o"))
     revisit = F.col("o").isNotNull() & ~F.col("key").eqNullSafe(F.col("o.key"))
     typed = records.join(originals, ["sha256", "size"], "left").select(
