@@ -15,8 +15,8 @@ Edge cases: a null text counts as the empty text, and empty texts are equal to e
 id is smaller than any other. Repeated rows count one by one in group_size; rows that repeat both
 id and text carry the same id, so group_exact marks all of them as kept; deduplicate keeps one. An empty
 table gives an empty result. Other columns are not looked at, whatever their names, and pass through deduplicate.
-Of a text that a third of all rows hold, each map task sends one record, and the join that names its group
-is between narrow rows, with the common groups sent by broadcast.
+Of a text that a third of all rows hold, each map task sends one record; the join that names its group is
+between narrow rows and left to the engine's skew handling.
 """
 
 from __future__ import annotations
