@@ -6,9 +6,10 @@ one window. The windows become word numbers under a hash set, broadcast to the t
 numbers each document's words, rolls a hash over stretches of known words, looks the windows up,
 and verifies each hit word by word before it counts.
 
-The set is only broadcast in blocks of proven size: the benchmark's characters are summed first,
-and a benchmark over block_chars is scanned in several passes whose hits are merged per document,
-so any size of benchmark gives the same result.
+The set is only broadcast in blocks of proven size: the benchmark's characters are summed first, and a
+benchmark over block_chars is scanned in several passes, each with the only block that is broadcast at the
+time. A pass writes its hits, which are merged per document, so any size of benchmark gives the same result.
+The driver holds two blocks at most.
 
 Edge cases: a null text has no words; so has an empty one. Items without an id, or without words,
 never hit. Rows that repeat an item's id add to its windows; repeated items with another id hit
@@ -22,8 +23,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxlake.llm._core import by_bytes, free_name
+from voxlake.llm._core import by_bytes, free_name, written
 
 WINDOW = 8
 #: Characters of benchmark text that one broadcast holds at most.
@@ -47,47 +48,65 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WindowSet:
-    """Windows of numbered words by length, with the items that hold them."""
+    """Windows of numbered words by length, in order of their hash, with the items that hold them."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        self.item_ids = sorted({i for i, _ in items if i is not None})
+        number = {i: k for k, i in enumerate(self.item_ids)}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
         for item_id, text in items:
-            numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            if numbers and item_id is not None:
-                for i in range(max(1, len(numbers) - window + 1)):
-                    self.items[tuple(numbers[i : i + window])].add(item_id)
-        by_length: dict[int, set[int]] = defaultdict(set)
-        for w in self.items:
-            by_length[len(w)].add(int(_rolled(np.array(w, np.uint64), np.array([0]), len(w))[0]))
-        self.hashes = {n: np.array(sorted(h), np.uint64) for n, h in sorted(by_length.items())}
+            words = words_of(text)
+            if words and item_id is not None:
+                numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint32)
+                own = np.lib.stride_tricks.sliding_window_view(numbers, min(window, len(words)))
+                held[own.shape[1]].append((own, np.full(len(own), number[item_id], np.uint32)))
+        #: For each length: hashes, windows, where the items of each begin (and the end), items.
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, parts in sorted(held.items()):
+            windows, owners = (np.concatenate(column) for column in zip(*parts, strict=True))
+            hashes = _rolled(windows[:, k] for k in range(n))
+            order = np.lexsort((owners, *windows.T, hashes))
+            hashes, windows, owners = hashes[order], windows[order], owners[order]
+            new = np.ones(len(hashes), bool)
+            new[1:] = (windows[1:] != windows[:-1]).any(1)
+            again = ~new
+            again[1:] &= owners[1:] == owners[:-1]
+            hashes, windows, owners, new = hashes[~again], windows[~again], owners[~again], new[~again]
+            self.tables[n] = hashes[new], windows[new], np.append(np.flatnonzero(new), len(owners)), owners
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Verified occurrences as (first word, length), and the items they come from."""
         found, items = [], set()
-        if not self.hashes or not words:
+        if not self.tables or not words:
             return found, items
-        numbers = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
+        numbers = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint32, len(words))
         at = np.arange(len(numbers))
         last_unknown = np.maximum.accumulate(np.where(numbers == 0, at, -1))
         known = at - last_unknown  # known words that end here
-        for n, hashes in self.hashes.items():
+        for n, (hashes, windows, begin, owners) in self.tables.items():
             starts = np.flatnonzero(known >= n) - n + 1
             if not len(starts):
                 continue
-            rolled = _rolled(numbers, starts, n)
+            rolled = _rolled(numbers[starts + k] for k in range(n))
             place = np.minimum(np.searchsorted(hashes, rolled), len(hashes) - 1)
-            for i in starts[hashes[place] == rolled].tolist():
-                if (of := self.items.get(tuple(numbers[i : i + n].tolist()))) is not None:
-                    found.append((i, n))
-                    items |= of
-        return found, items
-
-
-def _rolled(numbers: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(len(starts), np.uint64)
-    for k in range(n):
-        out = (out ^ numbers[starts + k]) * _MIX
+            likely = np.flatnonzero(hashes[place] == rolled)
+            for i, k in zip(starts[likely].tolist(), place[likely].tolist(), strict=True):
+                own, h = numbers[i : i + n], hashes[k]
+                while k < len(hashes) and hashes[k] == h:  # windows of one hash stand side by side
+                    if (windows[k] == own).all():
+                        found.append((i, n))
+                        items.update(owners[begin[k] : begin[k + 1]].tolist())
+                        break
+                    k += 1
+        return found, {self.item_ids[i] for i in items}
+
+
+def _rolled(columns: Iterable[np.ndarray]) -> np.ndarray:
+    """A hash of each row, given the columns of word numbers."""
+    out = np.uint64(0)
+    for column in columns:
+        out = (out ^ column.astype(np.uint64)) * _MIX
         out ^= out >> np.uint64(29)
     return out
 
@@ -132,8 +151,10 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) ->
         yield block
 
 
-_SCAN = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("ranges", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-_SCAN_DDL = "doc_id long, digest binary, n_words long, ranges array<long>, items array<string>"
+_SCAN = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("ranges", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+_SCAN_DDL = "doc_id long, digest binary, ranges array<long>, items array<string>"
+_WORDS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64())])
+_WORDS_DDL = "doc_id long, digest binary, n_words long"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("ranges", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 _FOUND_DDL = "doc_id long, n_words long, n_hit long, ranges array<long>, items array<string>"
 
@@ -146,25 +167,34 @@ def _summed(ranges: list[int], items: list[str]) -> tuple[int, list[int], list[s
 def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit, ranges (flat word ranges), items (sorted)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = _window_sets(spark, benchmark, item_id_col, item_text_col, window, block_chars)
-    if len(blocks) == 1:
-        return rows.mapInArrow(_scan_once(blocks[0]), _FOUND_DDL)
-    grouped = _merged(rows, blocks)
-    return grouped.select("doc_id", "n_words", "m.n_hit", "m.ranges", "m.items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
+    single, blocks = _single(_blocks(benchmark, item_id_col, item_text_col, block_chars))
+    if single is not None:
+        return rows.mapInArrow(_scan_once(spark.sparkContext.broadcast(WindowSet(single, window))), _FOUND_DDL)
+    hits = _merged(spark, rows, blocks, window).select(F.struct("doc_id", "digest").alias("row"), "m")
+    joined = rows.mapInArrow(_count_words, _WORDS_DDL).join(hits, F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("digest") == F.col("row.digest")), "left")
+    none = F.array()
+    return joined.select("doc_id", "n_words", F.coalesce("m.n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("m.ranges", none.cast("array<long>")).alias("ranges"), F.coalesce("m.items", none.cast("array<string>")).alias("items"))
 
 
-def _window_sets(spark: SparkSession, benchmark: DataFrame, item_id_col: str, item_text_col: str, window: int, block_chars: int) -> list:
-    return [spark.sparkContext.broadcast(WindowSet(b, window)) for b in _blocks(benchmark, item_id_col, item_text_col, block_chars)] or [spark.sparkContext.broadcast(WindowSet([], window))]
+def _single(blocks: Iterator[list]) -> tuple[list | None, Iterator[list]]:
+    """The only block, or None and all of several."""
+    first, second = next(blocks, []), next(blocks, None)
+    return (first, iter(())) if second is None else (None, chain([first, second], blocks))
 
 
-def _merged(rows: DataFrame, blocks: list) -> DataFrame:
-    """A row for each distinct (doc_id, digest) of rows: n_words, copies, m (n_hit, ranges, items)."""
-    passes = [rows.mapInArrow(_scan_keyed(b), _SCAN_DDL) for b in blocks]
-    union = passes[0]
-    for p in passes[1:]:
-        union = union.unionAll(p)
+def _merged(spark: SparkSession, rows: DataFrame, blocks: Iterator[list], window: int) -> DataFrame:
+    """A row for each distinct (doc_id, digest) of rows with hits: m (n_hit, ranges, items).
+
+    One block is broadcast at a time; its hits are written before the next takes its place.
+    """
+    found = None
+    for block in blocks:
+        windows = spark.sparkContext.broadcast(WindowSet(block, window))
+        hits = written(spark, rows.mapInArrow(_scan_keyed(windows), _SCAN_DDL).dropDuplicates(["doc_id", "digest"]), "hits")
+        windows.destroy()
+        found = hits if found is None else found.unionAll(hits)
     merge = F.udf(lambda r, i: _summed([x for part in r for x in part], [x for part in i for x in part]), T.StructType().add("n_hit", T.LongType()).add("ranges", T.ArrayType(T.LongType())).add("items", T.ArrayType(T.StringType())))
-    return union.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), (F.count("*") / len(blocks)).cast("int").alias("copies"), merge(F.collect_list("ranges"), F.collect_list("items")).alias("m"))
+    return found.groupBy("doc_id", "digest").agg(merge(F.collect_list("ranges"), F.collect_list("items")).alias("m"))  # a block has a row at most
 
 
 def _same_row(id_col: str, text_col: str, hit: str):
@@ -174,23 +204,43 @@ def _same_row(id_col: str, text_col: str, hit: str):
     return (F.unhex(F.sha2(raw, 256)) == F.col(f"{hit}.digest")) & F.col(id_col).cast("long").eqNullSafe(F.col(f"{hit}.doc_id"))
 
 
-def _clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, least_items: int, item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """With a benchmark of one block, a filter in one pass without a shuffle; else hits are merged by id and digest first."""
-    blocks = _window_sets(spark, benchmark, item_id_col, item_text_col, window, block_chars)
-    if len(blocks) > 1:
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        mine = free_name("hit", docs.columns)
-        hit = _merged(rows, blocks).where(F.size("m.items") >= least_items).select(F.struct("doc_id", "digest").alias(mine))
+def _cleaned(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, mode: str, id_col: str, text_col: str, least_items: int, item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """With a benchmark of one block, a single pass without a shuffle; else hits are merged by id and digest first."""
+    single, blocks = _single(_blocks(benchmark, item_id_col, item_text_col, block_chars))
+    spans = mode == "spans"
+    if single is not None:
+        windows = spark.sparkContext.broadcast(WindowSet(single, window))
+        return docs.mapInArrow(_clean_once(windows, docs.columns.index(text_col), least_items, spans), docs.schema)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    mine = free_name("hit", docs.columns)
+    hit = _merged(spark, rows, blocks, window).where(F.size("m.items") >= least_items).select(F.struct("doc_id", "digest", F.col("m.ranges").alias("ranges")).alias(mine))
+    if not spans:
         return docs.join(hit, _same_row(id_col, text_col, mine), "left_anti")
-    windows = blocks[0]
-    at = docs.columns.index(text_col)
+    cut = F.udf(lambda t, r: t if t is None or r is None else without_words(t, list(zip(r[::2], r[1::2], strict=True))), "string")
+    joined = docs.join(hit, _same_row(id_col, text_col, mine), "left")
+    return joined.select(*[cut(F.col(text_col), F.col(f"{mine}.ranges")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = [len(windows.value.hits(words_of(t.as_py()))[1]) < least_items for t in batch.column(at)]
-            yield batch if all(clean) else batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+def _clean_once(windows, at: int, least_items: int, spans: bool):
+    """Batches of whole rows, the text in column at; hit documents are left out, or their spans are."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {}
+            for i, text in enumerate(batch.column(at)):
+                hits, items = windows.value.hits(words_of(text.as_py()))
+                if len(items) >= least_items and hits:
+                    found[i] = covered(hits)
+            if not found:
+                yield batch
+            elif spans:
+                texts = [t if i not in found else without_words(t, found[i]) for i, t in enumerate(batch.column(at).to_pylist())]
+                columns = [pa.array(texts, c.type) if k == at else c for k, c in enumerate(batch.columns)]
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            else:
+                yield batch.filter(pa.array([i not in found for i in range(len(batch))], pa.bool_()))
+
+    return clean
 
 
 def _scan_once(windows):
@@ -208,37 +258,38 @@ def _scan_once(windows):
     return scan
 
 
+def _digest(text: str | None) -> bytes:
+    return hashlib.sha256(b"\0" if text is None else b"\1" + text.encode("utf-8", "surrogatepass")).digest()
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str | None]]:
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield doc_id, text.as_py()
+
+
 def _scan_keyed(windows):
+    """The rows with hits."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
-            for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    raw = text.as_py()
-                    words = words_of(raw)
-                    hits, items = windows.value.hits(words)
-                    digest = hashlib.sha256(b"\0" if raw is None else b"\1" + raw.encode("utf-8", "surrogatepass")).digest()
-                    yield doc_id, digest, len(words), [x for r in covered(hits) for x in r], sorted(items)
+            for doc_id, text in _texts(batches):
+                hits, items = windows.value.hits(words_of(text))
+                if hits:
+                    yield doc_id, _digest(text), [x for r in covered(hits) for x in r], sorted(items)
 
-        yield from by_bytes(found(), _SCAN, lambda r: 80 + 8 * len(r[3]) + 16 * len(r[4]))
+        yield from by_bytes(found(), _SCAN, lambda r: 80 + 8 * len(r[2]) + 16 * len(r[3]))
 
     return scan
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from by_bytes(((doc_id, _digest(text), len(words_of(text))) for doc_id, text in _texts(batches)), _WORDS, lambda r: 60)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, mode: str = "documents", id_col: str = "doc_id", text_col: str = "text", least_items: int = 2, **options) -> DataFrame:
     """docs without contaminated documents, or (mode "spans") with the hit spans cut out of them.
 
     A document is contaminated when windows of at least least_items items occur in it.
     """
-    if mode == "documents":
-        return _clean_documents(spark, docs, benchmark, id_col, text_col, least_items, **options)
-    return _clean_spans(spark, docs, benchmark, id_col, text_col, least_items, **options)
-
-
-def _clean_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, least_items: int, item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = _merged(rows, _window_sets(spark, benchmark, item_id_col, item_text_col, window, block_chars)).where(F.size("m.items") >= least_items)
-    cut = F.udf(lambda t, r: t if t is None or r is None else without_words(t, list(zip(r[::2], r[1::2], strict=True))), "string")
-    mine = free_name("hit", docs.columns)
-    spans = found.select(F.struct("doc_id", "digest", F.col("m.ranges").alias("ranges")).alias(mine))
-    joined = docs.join(spans, _same_row(id_col, text_col, mine), "left")
-    return joined.select(*[cut(F.col(text_col), F.col(f"{mine}.ranges")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return _cleaned(spark, docs, benchmark, mode, id_col, text_col, least_items, **options)
