@@ -16,7 +16,7 @@ id is smaller than any other. Repeated rows count one by one in group_size; rows
 id and text carry the same id, so group_exact marks all of them as kept; deduplicate keeps one. An empty
 table gives an empty result. Other columns are not looked at, whatever their names, and pass through deduplicate.
 Of a text that a third of all rows hold, each map task sends one record; the join that names its group is
-between narrow rows and left to the engine's skew handling.
+between narrow rows, by broadcast for the texts of over one row in a thousand.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm._core import by_bytes, free_name, written
+from voxlake.llm._core import by_bytes, free_name, join_frequent, written
 
 #: Bytes of content that the table of one task holds.
 TABLE_BYTES = 64 << 20
@@ -162,9 +162,12 @@ def group_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], schema=DIGESTS)
 
     sent = rows.mapInArrow(reduce_locally, "digest binary, content binary, keep_id long, rows long")
-    groups = sent.repartition("digest").mapInArrow(deduplicate_bucket, "digest binary, keep_id long, group_size long")
-    members = rows.mapInArrow(digests, "doc_id long, digest binary")
-    return members.join(groups, "digest").select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    spark = docs.sparkSession
+    groups = written(spark, sent.repartition("digest").mapInArrow(deduplicate_bucket, "digest binary, keep_id long, group_size long"), "contents")
+    members = written(spark, rows.mapInArrow(digests, "doc_id long, digest binary"), "digests")
+    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    found = join_frequent(members, groups.withColumn("rows", F.col("group_size")), ["digest"], "rows", total)
+    return found.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
