@@ -225,8 +225,8 @@ def _shared_hashes(labels: list[int]):
     return count
 
 
-_NODES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("hashes", pa.binary())])
-_NODES_DDL = "node long, n long, prefix array<long>, hashes binary"
+_NODES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("size", pa.int64()), ("hashes", pa.binary())])
+_NODES_DDL = "node long, n long, prefix array<long>, size long, hashes binary"
 
 
 def _prefix_size(n: np.ndarray, part: int, whole: int) -> np.ndarray:
@@ -264,7 +264,7 @@ def _candidates(part: int, whole: int):
             out, size = [], 0
             for i in np.flatnonzero(need > 0).tolist():
                 own = key[cuts[i] : cuts[i + 1]]
-                out.append((int(d[cuts[i]]), int(n[i]), own[: need[i]], own.astype("<i8").tobytes()))
+                out.append((int(d[cuts[i]]), int(n[i]), own[: need[i]], 8 * len(own), own.astype("<i8").tobytes()))
                 size += 8 * len(own)
                 if size > 4 << 20:
                     yield to_batch(out, _NODES)
@@ -488,11 +488,13 @@ def _blocks(column: str, block_bytes: int):
 
 
 def _links(spark: SparkSession, nodes: DataFrame, part: int, whole: int, block_bytes: int) -> DataFrame:
-    """Links (a, b) between sets, enough to connect all that link; nodes has node, n, prefix, hashes."""
-    entries = nodes.select("node", F.length("hashes").alias("size"), F.explode("prefix").alias("hash"))
-    leads = entries.groupBy("hash").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("hash", "lead")
+    """Links (a, b) between sets, enough to connect all that link; nodes has node, n, prefix, size, hashes."""
+    entries = nodes.select("node", "size", F.explode("prefix").alias("hash"))
+    leads = entries.groupBy("hash").agg(F.min("node").alias("lead"), F.count("*").alias("rows")).where("rows > 1")
+    leads = written(spark, leads, "firsts")
+    total = nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     # where sets go is settled on narrow rows; the hashes then move once for each lead
-    places = written(spark, entries.join(leads, "hash").select("lead", "node", "size").distinct(), "places")
+    places = written(spark, join_frequent(entries, leads, ["hash"], "rows", total).select("lead", "node", "size").distinct(), "places")
     big = places.groupBy("lead").agg(F.sum("size").alias("size")).where(F.col("size") > block_bytes).select("lead", _blocks("size", block_bytes).alias("blocks"))
     big = written(spark, big, "leads")
     sets = nodes.select("node", "n", "hashes")
