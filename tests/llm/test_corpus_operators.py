@@ -629,6 +629,7 @@ def test_secret_behind_other_strings():
     assert novel("bearer qZxKvJwPmTrQbNsL, or auth 8361940275518264") == ["qZxKvJwPmTrQbNsL", "8361940275518264"]
     assert novel("the secret organisation has international responsibility") == []
     assert novel("token" + " x" * 24 + " q7Xk29LmPzR4tV8w") == []
+    assert novel("token default_access_key_for_production_configuration=q7Xk29LmPzR4tV8w==") == ["q7Xk29LmPzR4tV8w=="]
 
 
 def test_novelty_is_marginal():

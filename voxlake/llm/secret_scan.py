@@ -41,7 +41,7 @@ _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # the whole of each run, as the pattern without a bound finds it
 _SENSITIVE = re.compile(r"(?i:passw|passwd|pwd|secret|token|api_?key|access_?key|private_?key|auth|credential|bearer)", re.ASCII)
-_STRING = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+_STRING = re.compile(r"[A-Za-z0-9+/_.-]{12,}={0,2}")  # an equals sign parts a name from its value, but for padding
 _ASSIGNED_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _SENSITIVE_WORDS = (*_ASSIGNED_WORDS, "passw", "pwd", "accesskey", "access_key", "privatekey", "private_key", "auth", "credential", "bearer")
 
