@@ -25,7 +25,6 @@ import hashlib
 import struct
 import tempfile
 from collections.abc import Iterable, Iterator
-from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +42,7 @@ Record = tuple[bytes, bytes, int | None, int]  # digest, content, largest id, ro
 
 RECORDS = pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("keep_id", pa.int64()), ("rows", pa.int64())])
 GROUPS = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
-DIGESTS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary())])
+DIGESTS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("own", pa.binary())])
 
 
 def normalised(text: str | None) -> bytes:
@@ -142,7 +141,7 @@ def _absorbed(records: Iterator[Record], budget: int) -> Iterator[Record]:
 
 
 def group_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES, local_bytes: int = LOCAL_BYTES) -> DataFrame:
-    """A row for each row of docs: doc_id, digest, keep_id, group_size, kept."""
+    """A row for each row of docs: doc_id, digest, own (the digest of the text as it is), keep_id, group_size, kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def reduce_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,38 +157,46 @@ def group_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [hashlib.sha256(normalised(t.as_py())).digest() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], schema=DIGESTS)
+            found, own = [], []
+            for text in batch.column(1):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                found.append(hashlib.sha256(raw.lower()).digest())
+                own.append(hashlib.sha256(raw).digest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(own, pa.binary())], schema=DIGESTS)
 
     sent = rows.mapInArrow(reduce_locally, "digest binary, content binary, keep_id long, rows long")
     spark = docs.sparkSession
     groups = written(spark, sent.repartition("digest").mapInArrow(deduplicate_bucket, "digest binary, keep_id long, group_size long"), "contents")
-    members = written(spark, rows.mapInArrow(digests, "doc_id long, digest binary"), "digests")
+    members = written(spark, rows.mapInArrow(digests, "doc_id long, digest binary, own binary"), "digests")
     total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     found = join_frequent(members, groups.withColumn("rows", F.col("group_size")), ["digest"], "rows", total)
-    return found.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    return found.select("doc_id", "digest", "own", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """docs with one row of those with equal texts, that with the largest id; all columns stay.
 
-    Rows go by id and digest, as rows that share an id, or have none, need not share a text. Where several rows
-    share the largest id and the text, the one whose columns have the least hash stays.
+    Rows go by id and their own text's digest, as rows that share an id, or have none, need not share a text. Where
+    several rows share the largest id and the text, the one whose columns have the least hash stays.
     """
     spark = docs.sparkSession
-    mine = free_name("own", docs.columns)
-    groups = written(spark, group_exact(docs, id_col, text_col, **limits).select("doc_id", "digest", "kept"), "groups")
-    lower = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
+    mine, at = free_name("own", docs.columns), free_name("at", docs.columns)
+    groups = group_exact(docs, id_col, text_col, **limits).where("not kept or group_size > 1")
+    groups = written(spark, groups.select("doc_id", "digest", "own", "kept"), "groups")
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # a column of its own, so that the digest is made once for each row and not where keys are compared
+    placed = docs.select(*columns, F.unhex(F.sha2(raw, 256)).alias(at))
 
     def met(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        right = keys.select(F.struct("doc_id", "digest").alias(mine))
-        same = (F.unhex(F.sha2(lower.cast("binary"), 256)) == F.col(f"{mine}.digest")) & F.col(id_col).cast("long").eqNullSafe(F.col(f"{mine}.doc_id"))
-        return rows.join(right, same, how)
-
-    kept = met(docs, groups.where("not kept").select("doc_id", "digest").distinct(), "left_anti")
-    repeated = groups.where("kept").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
-    if repeated.isEmpty():
-        return kept
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    several = met(kept, repeated, "inner").groupBy(mine).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
-    return met(kept, repeated, "left_anti").unionByName(several.select("row.*"))
+        right = keys.select(F.struct("doc_id", "digest", "own").alias(mine))
+        return rows.join(right, (F.col(at) == F.col(f"{mine}.own")) & F.col(id_col).cast("long").eqNullSafe(F.col(f"{mine}.doc_id")), how)
+
+    rest = met(placed, groups.where("not kept").dropDuplicates(["doc_id", "own"]), "left_anti")
+    kept = groups.where("kept")
+    twice = kept.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"), F.col("digest").alias("text"))
+    repeated = kept.join(twice, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("text")), "left_semi").dropDuplicates(["doc_id", "own"])
+    if twice.isEmpty():
+        return rest.drop(at)
+    several = met(rest, repeated, "inner").groupBy(f"{mine}.doc_id", f"{mine}.digest").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+    return met(rest, repeated, "left_anti").drop(at).unionByName(several.select("row.*"))
