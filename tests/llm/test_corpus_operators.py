@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxlake.llm import chat_format, decontamination, exact_dedup, line_dedup, packing, quality, queries, secret_scan, set_join, toxicity, warc
+from voxlake.llm import _text, chat_format, decontamination, exact_dedup, line_dedup, packing, quality, queries, secret_scan, set_join, toxicity, warc
 from voxlake.llm._core import components, join_frequent
 from voxlake.llm._defaults import default_tokenizer
 from voxlake.llm._text import word_hashes
@@ -113,6 +113,11 @@ def test_deduplicate_goes_by_row(spark):
     assert sorted(r.n for r in again.collect()) == kept
     same = spark.createDataFrame([(5, "x")] * 3 + [(5, "y")], "doc_id long, text string")
     assert sorted(map(tuple, exact_dedup.deduplicate(same).collect())) == [(5, "x"), (5, "y")]
+    case = [(7, "Ab", 0, "at"), (7, "aB", 1, "own"), (7, "ab", 2, None), (7, "c", 3, ""), (6, "AB", 4, ""), (None, "AB", 5, ""), (None, "C", 6, ""), (None, "d", 7, None)]
+    one = [exact_dedup.deduplicate(spark.createDataFrame(r, "doc_id long, text string, at long, own string").repartition(2)) for r in (case, case[::-1])]
+    assert one[0].columns == ["doc_id", "text", "at", "own"]
+    got = [sorted(r.at for r in df.collect()) for df in one]
+    assert got[0] == got[1] and got[0] in ([k, 3, 7] for k in (0, 1, 2))  # texts that differ by case alone share the id: one stays
 
 
 def test_grace_recursion_compares_content():
@@ -247,6 +252,16 @@ def test_set_join_edges(spark, none):
     assert sorted(r.doc_id or 0 for r in set_join.keep_one(spark, rows).collect()) == [0, 1, 1, 2]
 
 
+@pytest.mark.parametrize("piece", [1, 5, 40])
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch, piece):
+    raw = [b"", b"one two  three", b"x" * 90, b" \t", "é longerword\nz".encode(), b"a b c d e f g h"] * 3
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    whole = word_hashes(data, offsets)
+    monkeypatch.setattr(_text, "PIECE", piece)
+    for a, b in zip(word_hashes(data, offsets), whole, strict=True):
+        assert (a == b).all() and len(a) == 45
+
+
 def test_word_hashes_see_words_only():
     def hashes(texts):
         raw = [t.encode() for t in texts]
