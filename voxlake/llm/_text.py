@@ -41,6 +41,10 @@ class _Powers:
 _POWERS = _Powers()
 
 
+#: Bytes whose words are hashed at once; a longer word is hashed whole.
+PIECE = 1 << 18
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document of every word; document i is data[offsets[i]:offsets[i + 1]]."""
     if not len(data):
@@ -53,11 +57,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends = solid
     ends[:-1] &= ~np.append(solid[1:], False)[: len(data) - 1] | edge[1:-1]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    hashes = np.empty(len(first), U64)
+    at = 0
+    while at < len(first):
+        # whole words, as a word's hash does not depend on where it stands
+        stop = max(at + 1, int(np.searchsorted(last, first[at] + PIECE, "right")))
+        hashes[at:stop] = _hashed(data[first[at] : last[stop - 1]], first[at:stop] - first[at], last[at:stop] - first[at])
+        at = stop
+    return hashes, np.searchsorted(offsets, first, "right") - 1
+
+
+def _hashed(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the words data[first:last]."""
     up, down = _POWERS.upto(len(data) + 1)
     run = np.zeros(len(data) + 1, U64)
     np.cumsum((_LOWER[data].astype(U64) + U64(1)) * up[:-1], out=run[1:])
-    hashes = mixed((run[last] - run[first]) * down[first] + (last - first).astype(U64) * STEP)
-    return hashes, np.searchsorted(offsets, first, "right") - 1
+    return mixed((run[last] - run[first]) * down[first] + (last - first).astype(U64) * STEP)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
